@@ -7,11 +7,11 @@ similar enough, their prefixes of length n - ceil(t n) + l share at least l shin
 its prefix is estimated to bring, the longer the prefix and the more shared shingles
 a pair needs (the smaller l of both) before it is verified on the whole sets.
 
-Equal sets are one node, so copies cost nothing. Links are found in two steps, so
-that a large group of similar texts doesn't give all its pairs: first every shingle's
-documents are compared with one of them, the pivot; then, for shingles whose
-documents aren't in one component by then, all pairs from different components are.
-So components are those of all links.
+Equal sets are one node, so copies cost nothing. A pair all of whose shared prefix
+shingles are in at most HOT nodes is counted and verified as above. A shingle in more
+nodes would give pairs by the square of their number: its nodes are compared on their
+whole sets instead, in tiles of bounded size, each of which gives only as many links
+as its components need. So no link is lost and none of those groups is spelled out.
 
 Nodes are 64-bit digests of the sorted set, shingles 64-bit hashes. Null or wordless
 texts have an empty set and are linked with nothing. Rows with equal or null ids are
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ WORDS, PERCENT = 4, 85
 SKETCH, FILTER, BLOCK = 1 << 20, 1 << 23, 1 << 14
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
+#: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a tile.
+HOT, TILE, TILE_BYTES = 48, 1024, 32 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -114,48 +117,115 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int)
 
 
 def shared_prefixes(df: DataFrame, text_col: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, node, n, l, place: the prefix shingles that two nodes have at least, with the least node as pivot."""
+    """token, node, meta, nodes: the prefix shingles of two nodes at least, with the number of their nodes. meta packs place, l and size (see unpacked)."""
     usual = float(np.median(counts) + 2 * np.sqrt(np.median(counts)))
 
     def run(batch):
         sets = shingle_sets(utf8(batch.column(0)), k)
         found = [prefix(s, counts, usual, percent) if len(s) else (s, 0) for s in sets]
-        sizes = np.cumsum([0] + [len(p) for p, _ in found])
-        tokens = np.concatenate([p for p, _ in found]).view(np.int64)
         return [
-            pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for _, x in found], pa.int32()),
-            pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(tokens)),
-        ]
+            pa.array([node_of(s) for s in sets], pa.int64()),
+            pa.array([len(s) << 4 | level for s, (_, level) in zip(sets, found)], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p, _ in found]), pa.int32()), pa.array(np.concatenate([p for p, _ in found]).view(np.int64))),
+        ]
 
-    rows = map_batches(df.select(text_col), "node long, n int, l int, tokens array<long>", run).drop(text_col)
-    nodes = rows.where("node is not null").dropDuplicates(["node"])
-    tokens = nodes.select("node", "n", "l", F.posexplode("tokens").alias("place", "token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("__count"), F.min("node").alias("pivot")).where("__count > 1").drop("__count")
-    return stored(tokens.join(several, "token"), "prefixes")
+    rows = map_batches(df.select(text_col), "node long, size long, tokens array<long>", run).drop(text_col)
+    nodes = stored(rows.where("node is not null").dropDuplicates(["node"]), "prefixes")
+    tokens = nodes.select("node", F.posexplode("tokens").alias("__place", "token"), "size").selectExpr("token", "node", "shiftleft(cast(__place as long), 32) | size as meta")
+    several = tokens.groupBy("token").agg(F.count("*").cast("int").alias("nodes")).where("nodes > 1")
+    return stored(tokens.join(several, "token"), "shared")
+
+
+def unpacked(shared: DataFrame) -> DataFrame:
+    return shared.selectExpr("token", "node", "shiftright(meta, 32) as place", "(meta & 4294967295) div 16 as n", "meta & 15 as l")
 
 
 def could_link(a: str, b: str, percent: int) -> str:
     """SQL: sizes are near enough, and the two places of a shared shingle leave enough for the rest of the overlap."""
-    least = f"{percent} * cast({a}.n + {b}.n as long)"
-    most = f"{100 + percent} * cast(least({a}.place, {b}.place) + 1 + least({a}.n - {a}.place, {b}.n - {b}.place) - 1 as long)"
-    return f"{percent} * {a}.n <= 100 * {b}.n and {percent} * {b}.n <= 100 * {a}.n and {most} >= {least}"
+    most = f"{100 + percent} * (least({a}.place, {b}.place) + least({a}.n - {a}.place, {b}.n - {b}.place))"
+    return f"{percent} * {a}.n <= 100 * {b}.n and {percent} * {b}.n <= 100 * {a}.n and {most} >= {percent} * ({a}.n + {b}.n)"
 
 
-def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of a pivot and another document of its shingles that share l shingles so."""
-    pivots = shared.where("node = pivot").alias("p")
-    pairs = shared.where("node <> pivot").alias("x").join(pivots, "token").where(could_link("p", "x", percent))
+def cold_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that share l prefix shingles of at most HOT nodes each."""
+    cold = unpacked(shared.where(f"nodes <= {HOT}"))
+    pairs = cold.alias("p").join(cold.alias("x"), "token").where("p.node < x.node").where(could_link("p", "x", percent))
     return pairs.groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("p.l", "x.l")).alias("l")).where("c >= l").select("a", "b")
 
 
-def cross_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs from different components that share l prefix shingles."""
-    named = shared.select("token", "node", "n", "l", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named, "named")
-    mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    rest = named.join(mixed, "token", "left_semi")
-    pairs = rest.alias("p").join(rest.alias("x"), "token").where("p.node < x.node and p.label <> x.label").where(could_link("p", "x", percent))
-    return pairs.groupBy(F.col("p.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("p.l", "x.l")).alias("l")).where("c >= l").select("a", "b")
+def hot_groups(shared: DataFrame) -> DataFrame:
+    """pivot, i, j, node: the tiles in which nodes are compared. A hot shingle's nodes go to the least of them, the pivot; many tokens have the same pivot.
+
+    A pivot's nodes are dealt over as many parts as its size needs; tile (i, j) holds parts i and j, so each two nodes meet.
+    """
+    hot = shared.where(f"nodes > {HOT}")
+    pivots = hot.groupBy("token").agg(F.min("node").alias("pivot"))
+    members = hot.join(pivots, "token").groupBy("pivot", "node").agg(F.first("meta").alias("meta")).selectExpr("pivot", "node", "(meta & 4294967295) div 16 as n")
+    sizes = members.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    return dealt.select("pivot", "node", F.explode(tiles).alias("t")).select("pivot", "t.i", "t.j", "node")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share. Frequent shingles by matrix products, the others by their pairs; both in slices of bounded size."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner, starts = owner[order], np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(every)]]))
+    out = np.zeros((m, m), np.float32)
+    frequent = np.flatnonzero(counts >= 32)
+    for k in range(0, len(frequent), 2048):
+        some = frequent[k : k + 2048]
+        n = counts[some]
+        column = np.repeat(np.arange(len(some)), n)
+        row = owner[np.repeat(starts[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        held = np.zeros((m, len(some)), np.float32)
+        held[row, column] = 1
+        out += held @ held.T
+    for n in range(2, 32):
+        some = starts[counts == n]
+        for k in range(0, len(some), max(1, (1 << 20) // (n * n))):
+            rows = owner[some[k : k + max(1, (1 << 20) // (n * n)), None] + np.arange(n)]
+            cells = (rows[:, :, None] * m + rows[:, None, :]).ravel()
+            out += np.bincount(cells, minlength=m * m).reshape(m, m) if len(cells) > m * m >> 4 else added(cells, m)
+    return out
+
+
+def added(cells: np.ndarray, m: int) -> np.ndarray:
+    cell, n = np.unique(cells, return_counts=True)
+    out = np.zeros(m * m, np.float32)
+    out[cell] = n
+    return out.reshape(m, m)
+
+
+def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the tile's nodes as all of its links do: each node to the first of its component."""
+    sizes = np.array([len(s) for s in sets], np.float64)
+    common = overlaps(sets).astype(np.float64)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    left, out = np.ones(len(nodes), bool), []
+    for first in range(len(nodes)):
+        if left[first]:
+            seen = edge = np.arange(len(nodes)) == first
+            while edge.any():
+                edge = linked[edge].any(axis=0) & ~seen
+                seen = seen | edge
+            left &= ~seen
+            out += [(nodes[first], nodes[k]) for k in np.flatnonzero(seen) if k != first]
+    return out
+
+
+def hot_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: what joins the components of each tile."""
+
+    def run(frame):
+        found = tile_links(frame["node"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return tiles.join(sets, "node").groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -229,11 +299,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select("__text")
     documents = stored(with_nodes(rows, "__text", k).drop("__text"), "nodes")
     shared = shared_prefixes(texts, "__text", k, percent, sketch(texts, "__text", k))
-    sets = whole_sets(texts, "__text", k, shared.select("node"))
-    links = stored(verified(pivot_pairs(shared, percent), sets, percent), "links")
-    labels = cut(components(links))
-    more = stored(verified(cross_pairs(shared, labels, percent), sets, percent), "links")
-    labels = components(links.unionByName(more))
+    pairs, tiles = stored(cold_pairs(shared, percent), "pairs"), stored(hot_groups(shared), "tiles")
+    sets = whole_sets(texts, "__text", k, pairs.select("a").union(pairs.select("b")).union(tiles.select("node")).toDF("node"))
+    labels = components(stored(verified(pairs, sets, percent).union(hot_links(tiles, sets, percent)), "links"))
     least = documents.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
