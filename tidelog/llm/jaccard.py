@@ -20,6 +20,7 @@ documents of their own; a component's id is the smallest id that isn't null.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,14 @@ from .common import bounded_batches, cut, map_batches, stored, utf8
 from .words import SPACE_TABLE, hash_words, mix, rolling
 
 WORDS, PERCENT = 4, 85
-#: Cells of the frequency sketch and of the node filter (both of fixed size, at most 4 MB and 1 MB), cells in a row.
-SKETCH, FILTER, BLOCK = 1 << 20, 1 << 23, 1 << 14
+#: Cells of the frequency sketch and of the node filter (both of fixed size, 16 MB and 1 MB), cells in a row.
+SKETCH, FILTER, BLOCK = 1 << 22, 1 << 23, 1 << 16
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
 #: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a tile.
 HOT, TILE, TILE_BYTES = 48, 1024, 32 << 20
+#: Part of the set by which the second, longer prefix of a candidate pair is lengthened.
+LONGER = 8
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -71,6 +74,11 @@ def with_nodes(df: DataFrame, text_col: str, k: int, node_col: str = "node") ->
     return map_batches(df, f"n_shingles long, `{node_col}` long", run)
 
 
+def unpack(packed: bytes) -> np.ndarray:
+    """Counts whose bytes were sorted by their place in the number, which squeezes well."""
+    return np.frombuffer(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T.tobytes(), "<u8")
+
+
 def sketch(df: DataFrame, text_col: str, k: int) -> np.ndarray:
     """How many documents have a shingle of each cell, over all documents; summed on the executors, SKETCH numbers come back."""
     bounded_batches(df.sparkSession)
@@ -78,7 +86,7 @@ def sketch(df: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     def rows(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for b, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(c.astype("<u8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def count(batches):
         total = np.zeros(SKETCH, np.uint32)
@@ -92,14 +100,14 @@ def sketch(df: DataFrame, text_col: str, k: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(c, np.uint32 if len(c) == 4 * BLOCK else np.uint64).astype(np.uint64)
+                part = unpack(c)
                 total[b] = total[b] + part if b in total else part
         yield from rows(total)
 
     found = df.select(text_col).mapInArrow(count, schema).repartition(SKETCH // BLOCK, "block").mapInArrow(add, schema).collect()
     out = np.zeros(SKETCH, np.uint64)
     for r in found:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint64)
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r["counts"])
     return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
 
@@ -238,40 +246,60 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def whole_sets(df: DataFrame, text_col: str, k: int, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the documents whose nodes pass the filter of `nodes`."""
+def sets_of(df: DataFrame, text_col: str, k: int, nodes: DataFrame, part=None) -> DataFrame:
+    """node, l, shingles (sorted) of the documents whose nodes pass the filter of `nodes`; `part` takes a part of a set and its l, else they are whole."""
     bits = node_filter(nodes)
     bounded_batches(df.sparkSession)
-    schema = T.StructType.fromDDL("node long, shingles binary")
+    schema = T.StructType.fromDDL("node long, l int, shingles binary")
 
     def run(batches):
         for batch in batches:
-            ids, sets = [], []
+            ids, levels, sets = [], [], []
             for s in shingle_sets(utf8(batch.column(0)), k):
                 node = node_of(s)
                 if node is not None and bits[(node % FILTER) // 64] >> (node % FILTER % 64) & 1:
+                    some, level = part(s) if part else (s, 0)
                     ids.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    levels.append(level)
+                    sets.append(np.sort(some).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(sets, pa.binary())], schema.fieldNames())
 
     return stored(df.select(text_col).mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; exact in integers."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("__a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("__b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "__a", "__b")
+def longer_prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """A prefix lengthened by a part of the set, and its l."""
+    n = len(shingles)
+    least = -(-percent * n // 100)
+    level = min(1 + n // LONGER, least)
+    order = np.lexsort((shingles, counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)]))
+    return shingles[order[: n - least + level]], level
+
+
+def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs for which test(set, set, the smaller l) holds."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"__{x}"), F.col("l").alias(f"__l{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "__a", "__b", F.least("__la", "__lb").alias("__l"))
 
     def run(batch):
-        out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return [pa.array(out, pa.bool_())]
+        rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
+        return [pa.array([test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y, least in rows], pa.bool_())]
+
+    return map_batches(both, "__passed boolean", run).where("__passed").select("a", "b")
+
+
+def shared_by(x: np.ndarray, y: np.ndarray) -> int:
+    return len(x) + len(y) - len(np.union1d(x, y))
+
+
+def similar(percent: int):
+    """Exact, in integers."""
+
+    def test(x: np.ndarray, y: np.ndarray, _: int) -> bool:
+        common = shared_by(x, y)
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return map_batches(both, "linked boolean", run).where("linked").select("a", "b")
+    return test
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,10 +326,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     texts = rows.select("__text")
     documents = stored(with_nodes(rows, "__text", k).drop("__text"), "nodes")
-    shared = shared_prefixes(texts, "__text", k, percent, sketch(texts, "__text", k))
+    counts = sketch(texts, "__text", k)
+    shared = shared_prefixes(texts, "__text", k, percent, counts)
     pairs, tiles = stored(cold_pairs(shared, percent), "pairs"), stored(hot_groups(shared), "tiles")
-    sets = whole_sets(texts, "__text", k, pairs.select("a").union(pairs.select("b")).union(tiles.select("node")).toDF("node"))
-    labels = components(stored(verified(pairs, sets, percent).union(hot_links(tiles, sets, percent)), "links"))
+    ends = lambda p: p.select("a").union(p.select("b")).toDF("node")
+    # Candidates by few shared shingles are tested on longer prefixes, which need as many more, before whole sets are moved.
+    prefixes = sets_of(texts, "__text", k, ends(pairs), lambda s: longer_prefix(s, counts, percent))
+    pairs = stored(tested(pairs, prefixes, lambda x, y, level: shared_by(x, y) >= level), "pairs")
+    sets = sets_of(texts, "__text", k, ends(pairs).union(tiles.select("node")))
+    labels = components(stored(tested(pairs, sets, similar(percent)).union(hot_links(tiles, sets, percent)), "links"))
     least = documents.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
