@@ -50,7 +50,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     grams = rolling(words.hashes, k)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        out.append(np.unique(grams[a : b - k + 1]) if b - a >= k else rolling(words.hashes[a:b], b - a))
+        out.append(np.unique(grams[a : b - k + 1]) if b - a >= k else rolling(words.hashes[a:b], b - a) if b > a else grams[:0])
     return out
 
 

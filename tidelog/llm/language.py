@@ -27,7 +27,8 @@ from .common import bounded_batches, map_batches
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 #: Most labelled texts that training takes, and languages it learns (the most frequent).
 SAMPLE, LANGUAGES = 2000, 64
-EPOCHS, RATE, ROWS_A_STEP = 30, 4.0, 16
+EPOCHS, STEPS, RATE, ROWS_A_STEP = 30, 2000, 4.0, 16
+#: (Epochs are as many as give STEPS steps, EPOCHS at least.)
 #: Of right calibration texts, the share that rejection may cost; no score of a half or more is ever rejected.
 COST = 0.002
 UNKNOWN = "und"
@@ -71,8 +72,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], se
     kept, train = rows[::5], [r for k, r in enumerate(rows) if k % 5 or len(rows) < 10]
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
     softmax, bias = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * ROWS_A_STEP // max(1, len(train))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(train))
         for k in range(0, len(order), ROWS_A_STEP):
             step = [train[i] for i in order[k : k + ROWS_A_STEP]]
