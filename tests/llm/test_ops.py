@@ -108,7 +108,9 @@ def test_bpe_is_the_librarys():
     for text in texts:
         ids, packed = library.encode(text, add_special_tokens=False).ids, own.encode(text)
         assert np.frombuffer(packed, "<u4").tolist() == ids
-        assert "".join(decoder.decode(packed, 3 if len(ids) < 100 else 1 << 14)) == library.decode(ids, skip_special_tokens=False)
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert bpe.digest_text(own, decoder, text) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
+        assert "".join(decoder.decode(packed, 3 if len(ids) < 100 else 1 << 14)) == decoded
 
 
 def test_token_counts_are_the_librarys():
@@ -122,6 +124,8 @@ def test_token_counts_are_the_librarys():
 def test_token_columns(spark):
     rows = frame(spark)
     assert by_id(bpe.token_digest(rows, queries.tokenizer("byte_bpe_50k.json"), ["doc_id"]), "n_tokens", "round_trip")[1] == (0, True)
+    packed = bpe.encode(rows.select("doc_id", "text"), queries.tokenizer("byte_bpe_50k.json"))
+    assert by_id(bpe.decode(packed, queries.tokenizer("byte_bpe_50k.json")), "decoded") == {i: (t or "",) for i, t in TEXTS}
     counts = by_id(token_counts.token_counts(rows.select("doc_id", "text"), queries.tokenizer("piece_bpe_32k.model")), "n_tokens", "n_bytes")
     assert counts[1] == (0, 0) and counts[6][1] == 150_000
 

@@ -14,6 +14,7 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches
 
@@ -187,16 +189,19 @@ class Encoder:
             at = cut
         yield self.encode_words(self.split(text[at:]))
 
-    def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian 32-bit integers."""
-        out, at = [], 0
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as little-endian 32-bit integers, piece by piece."""
+        at = 0
         if self.specials:
             for m in self.specials.finditer(text):
-                out += self.plain(text[at : m.start()])
-                out.append(self.m.special[m[0]].to_bytes(4, "little"))
+                yield from self.plain(text[at : m.start()])
+                yield self.m.special[m[0]].to_bytes(4, "little")
                 at = m.end()
-        out += self.plain(text[at:] if at else text)
-        return b"".join(out)
+        yield from self.plain(text[at:] if at else text)
+
+    def encode(self, text: str) -> bytes:
+        """All ids of a text as little-endian 32-bit integers."""
+        return b"".join(self.pieces(text))
 
 
 class Decoder:
@@ -251,19 +256,29 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return map_batches(df, f"`{text_col}` string", run)
 
 
+def digest_text(e: Encoder, d: Decoder, text: str) -> tuple[int, str, str, bool]:
+    """(tokens, digest of their ids, digest of what they decode to, whether that is the text): ids are decoded as they come and not kept."""
+    ids, back, n, at, same = hashlib.sha256(), hashlib.sha256(), 0, 0, True
+    d.state.reset()
+    for piece in itertools.chain(e.pieces(text), (None,)):
+        if piece is not None:
+            ids.update(piece)
+            n += len(piece) // 4
+        decoded = d.feed(() if piece is None else np.frombuffer(piece, "<u4").tolist(), piece is None)
+        back.update(decoded.encode())
+        same = same and text.startswith(decoded, at)
+        at += len(decoded)
+    return n, ids.hexdigest(), back.hexdigest(), same and at == len(text)
+
+
 def token_digest(df: DataFrame, path: str, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols, n_tokens, ids_sha256, decoded_sha256 and round_trip: encode, decode the ids again, digest both."""
-    rows = decode(encode(df.select(*id_cols, text_col), path, text_col, "__ids", "n_tokens"), path, "__ids", "__decoded")
-    names = rows.columns
-    ids, back, text = (names.index(x) for x in ("__ids", "__decoded", text_col))
+    """id_cols, n_tokens, ids_sha256, decoded_sha256 and round_trip: encode, decode the ids again, digest both. One Python step does all."""
+    rows = df.select(*id_cols, F.col(text_col).alias("__text"))
+    place = rows.columns.index("__text")
 
     def run(batch):
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        texts, decoded = ([x or "" for x in batch.column(k).to_pylist()] for k in (text, back))
-        return [
-            pa.array([sha(x) for x in batch.column(ids).to_pylist()], pa.string()),
-            pa.array([sha(x.encode()) for x in decoded], pa.string()),
-            pa.array([a == b for a, b in zip(texts, decoded)], pa.bool_()),
-        ]
-
-    return map_batches(rows, "ids_sha256 string, decoded_sha256 string, round_trip boolean", run).drop("__ids", "__decoded", text_col)
+        e, d = encoder(path), Decoder(merge_list(path))
+        n, ids, back, same = zip(*(digest_text(e, d, x or "") for x in batch.column(place).to_pylist()))
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+
+    return map_batches(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", run).drop("__text")
