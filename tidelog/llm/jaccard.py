@@ -91,9 +91,8 @@ def sketch(df: DataFrame, text_col: str, k: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            cells = [s & np.uint64(SKETCH - 1) for s in shingle_sets(utf8(batch.column(0)), k)]
-            if cells:
-                total += np.bincount(np.concatenate(cells).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            for s in shingle_sets(utf8(batch.column(0)), k):
+                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         yield from rows({b: x for b, x in enumerate(total.reshape(-1, BLOCK)) if x.any()})
 
     def add(batches):

@@ -14,6 +14,7 @@ With no labelled text at all every document is `und`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,20 +32,23 @@ EPOCHS, STEPS, RATE, ROWS_A_STEP = 30, 2000, 4.0, 16
 #: (Epochs are as many as give STEPS steps, EPOCHS at least.)
 #: Of right calibration texts, the share that rejection may cost; no score of a half or more is ever rejected.
 COST = 0.002
+#: Bytes whose subwords are looked up at once.
+SLICE = 1 << 16
 UNKNOWN = "und"
 
 
-def subwords(text: str) -> np.ndarray:
-    """The bucket of every subword of the whole text."""
-    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-    out, code = [], np.zeros(len(data), np.uint64)
-    for n in range(1, max(GRAMS) + 1):
-        if len(data) < n:
-            break
-        code = code[: len(data) - n + 1] << np.uint64(8) | data[n - 1 :]
-        if n in GRAMS:
-            out.append(((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 14)).astype(np.int32))
-    return np.concatenate(out)
+def subwords(text: str) -> Iterator[np.ndarray]:
+    """The bucket of every subword of the whole text, those that begin in SLICE bytes at a time."""
+    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    for at in range(0, len(data), SLICE):
+        some = data[at : at + SLICE + max(GRAMS) - 1].astype(np.uint64)
+        code = np.zeros(len(some), np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            if len(some) < n:
+                break
+            code = code[: len(some) - n + 1] << np.uint64(8) | some[n - 1 :]
+            if n in GRAMS:
+                yield ((code[:SLICE] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 14)).astype(np.int32)
 
 
 @dataclass
@@ -58,7 +62,11 @@ class Model:
     accept: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
-        return self.weights[subwords(text)].mean(axis=0) + self.bias
+        total, n = np.zeros(len(self.languages)), 0
+        for buckets in subwords(text):
+            total += self.weights[buckets].sum(axis=0, dtype=np.float64)
+            n += len(buckets)
+        return total / n + self.bias
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -126,8 +134,9 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
     chosen = rows.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
 
     def count(batch):
-        out = [np.unique(subwords(x), return_counts=True) for x in batch.column(1).to_pylist()]
-        return [pa.array([b.astype("<u2").tobytes() for b, _ in out], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in out], pa.binary())]
+        out = [sum(np.bincount(b, minlength=BUCKETS) for b in subwords(x)) for x in batch.column(1).to_pylist()]
+        found = [np.flatnonzero(c) for c in out]
+        return [pa.array([b.astype("<u2").tobytes() for b in found], pa.binary()), pa.array([np.minimum(c[b], 65535).astype("<u2").tobytes() for c, b in zip(out, found)], pa.binary())]
 
     counted = map_batches(chosen, "buckets binary, counts binary", count).select("lang", "place", "buckets", "counts")
     sample = []

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MASK = (1 << 64) - 1
+#: Bytes whose words are hashed at once.
+SLICE = 1 << 18
 _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: Lower-cases A-Z; what isn't a digit, an ASCII letter or a byte over 127 becomes a space.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -42,8 +44,21 @@ class Words:
 
 
 def hash_words(texts: list[bytes], table: bytes) -> Words:
-    """The words' hashes. `table` maps bytes as bytes.translate does; spaces part words."""
-    buf = np.frombuffer(b" " + b" ".join(texts).translate(table) + b" ", np.uint8)
+    """The words' hashes. `table` maps bytes as bytes.translate does; spaces part words. All bytes are read, SLICE or a word more at a time."""
+    data = b" " + b" ".join(texts).translate(table) + b" "
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data) - 1:
+        end = data.index(b" ", min(at + SLICE, len(data) - 1))
+        first, some = slice_words(np.frombuffer(data, np.uint8, end + 1 - at, at))
+        starts.append(first + at)
+        hashes.append(some)
+        at = end
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins))
+
+
+def slice_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a slice that begins and ends with a space."""
     letter = buf != 32
     edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
@@ -52,9 +67,7 @@ def hash_words(texts: list[bytes], table: bytes) -> Words:
     chars = buf[letter]
     places = np.arange(len(chars)) - np.repeat(offsets, lengths)
     codes = BYTE_CODES[chars] * powers(int(lengths.max(initial=0)))[places]
-    hashes = mix(np.add.reduceat(codes, offsets)) if len(offsets) else np.zeros(0, np.uint64)
-    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return Words(hashes, np.searchsorted(starts, begins))
+    return starts, mix(np.add.reduceat(codes, offsets)) if len(offsets) else np.zeros(0, np.uint64)
 
 
 GRAM_CODES = _random.integers(1, MASK, 64, np.uint64, endpoint=True) | np.uint64(1)
