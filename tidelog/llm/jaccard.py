@@ -39,7 +39,7 @@ SKETCH, FILTER, BLOCK = 1 << 22, 1 << 23, 1 << 16
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
 #: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a tile.
-HOT, TILE, TILE_BYTES = 48, 1024, 32 << 20
+HOT, TILE, TILE_BYTES = 48, 1024, 12 << 20
 #: Part of the set by which the second, longer prefix of a candidate pair is lengthened.
 LONGER = 8
 
@@ -177,11 +177,14 @@ def hot_groups(shared: DataFrame) -> DataFrame:
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share. Frequent shingles by matrix products, the others by their pairs; both in slices of bounded size."""
     m = len(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    owner = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
     every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    owner, starts = owner[order], np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+    order = np.argsort(every)
+    every, owner = every[order], owner[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     counts = np.diff(np.concatenate([starts, [len(every)]]))
+    del every
     out = np.zeros((m, m), np.float32)
     frequent = np.flatnonzero(counts >= 32)
     for k in range(0, len(frequent), 2048):
@@ -196,7 +199,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         some = starts[counts == n]
         for k in range(0, len(some), max(1, (1 << 20) // (n * n))):
             rows = owner[some[k : k + max(1, (1 << 20) // (n * n)), None] + np.arange(n)]
-            cells = (rows[:, :, None] * m + rows[:, None, :]).ravel()
+            cells = (rows[:, :, None].astype(np.int64) * m + rows[:, None, :]).ravel()
             out += np.bincount(cells, minlength=m * m).reshape(m, m) if len(cells) > m * m >> 4 else added(cells, m)
     return out
 
@@ -211,8 +214,11 @@ def added(cells: np.ndarray, m: int) -> np.ndarray:
 def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join the tile's nodes as all of its links do: each node to the first of its component."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    common = overlaps(sets).astype(np.float64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    shared = overlaps(sets)
+    linked = np.empty(shared.shape, bool)
+    for k in range(0, len(sets), 128):
+        common = shared[k : k + 128].astype(np.float64)
+        linked[k : k + 128] = 100 * common >= percent * (sizes[k : k + 128, None] + sizes[None, :] - common)
     left, out = np.ones(len(nodes), bool), []
     for first in range(len(nodes)):
         if left[first]:
