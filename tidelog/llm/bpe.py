@@ -281,4 +281,4 @@ def token_digest(df: DataFrame, path: str, id_cols: list[str], text_col: str = "
         n, ids, back, same = zip(*(digest_text(e, d, x or "") for x in batch.column(place).to_pylist()))
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
 
-    return map_batches(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", run).drop("__text")
+    return map_batches(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", run, ("__text",))

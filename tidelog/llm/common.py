@@ -49,17 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | list]) -> DataFrame:
-    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows."""
+def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], without: tuple[str, ...] = ()) -> DataFrame:
+    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows. Columns `without` don't come back from Python."""
     bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(columns)
-    schema = T.StructType([*df.schema.fields, *added.fields])
+    kept = [k for k, f in enumerate(df.schema.fields) if f.name not in without]
+    schema = T.StructType([*(df.schema.fields[k] for k in kept), *added.fields])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch)], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *function(batch)], names)
 
     return df.mapInArrow(run, schema)
 

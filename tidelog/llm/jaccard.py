@@ -136,7 +136,7 @@ def shared_prefixes(df: DataFrame, text_col: str, k: int, percent: int, counts:
             pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p, _ in found]), pa.int32()), pa.array(np.concatenate([p for p, _ in found]).view(np.int64))),
         ]
 
-    rows = map_batches(df.select(text_col), "node long, size long, tokens array<long>", run).drop(text_col)
+    rows = map_batches(df.select(text_col), "node long, size long, tokens array<long>", run, (text_col,))
     nodes = stored(rows.where("node is not null").dropDuplicates(["node"]), "prefixes")
     tokens = nodes.select("node", F.posexplode("tokens").alias("__place", "token"), "size").selectExpr("token", "node", "shiftleft(cast(__place as long), 32) | size as meta")
     several = tokens.groupBy("token").agg(F.count("*").cast("int").alias("nodes")).where("nodes > 1")
@@ -290,7 +290,7 @@ def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
         rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
         return [pa.array([test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y, least in rows], pa.bool_())]
 
-    return map_batches(both, "__passed boolean", run).where("__passed").select("a", "b")
+    return map_batches(both, "__passed boolean", run, ("__a", "__b", "__l")).where("__passed").select("a", "b")
 
 
 def shared_by(x: np.ndarray, y: np.ndarray) -> int:

@@ -138,7 +138,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
         found = [np.flatnonzero(c) for c in out]
         return [pa.array([b.astype("<u2").tobytes() for b in found], pa.binary()), pa.array([np.minimum(c[b], 65535).astype("<u2").tobytes() for c, b in zip(out, found)], pa.binary())]
 
-    counted = map_batches(chosen, "buckets binary, counts binary", count).select("lang", "place", "buckets", "counts")
+    counted = map_batches(chosen, "buckets binary, counts binary", count, ("text",)).select("lang", "place", "buckets", "counts")
     sample = []
     for r in counted.orderBy("place", "lang", "buckets").limit(SAMPLE).collect():
         c = np.frombuffer(r["counts"], "<u2").astype(np.float64)

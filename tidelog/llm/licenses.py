@@ -77,7 +77,7 @@ def rolled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(grams[keep] if len(keep) else np.zeros(0, np.int64))))
         return out
 
-    return map_batches(df.select(id_col, text_col), "n_words long, pairs array<long>, fours array<long>", run).drop(text_col)
+    return map_batches(df.select(id_col, text_col), "n_words long, pairs array<long>, fours array<long>", run, (text_col,))
 
 
 def votes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
