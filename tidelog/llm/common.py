@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes in one Arrow batch, so that very long texts don't pile up in a Python worker.
@@ -65,6 +66,20 @@ def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch]
     return df.mapInArrow(run, schema)
 
 
+def with_results(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], inputs: list[str]) -> DataFrame:
+    """df plus the DDL `columns`, as map_batches, but only `inputs` go to Python (in order) and only results come back: rows with long texts wait in Spark's own queue, which spills."""
+    bounded_batches(df.sparkSession)
+    added = T.StructType.fromDDL(columns)
+    names = added.fieldNames()
+
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(function(pa.RecordBatch.from_struct_array(rows)), names)
+
+    # Nondeterministic, so that the optimiser doesn't run it again for each use of a result.
+    result = F.arrow_udf(run, added).asNondeterministic()(F.struct(*(F.col(f"`{c}`") for c in inputs)))
+    return df.withColumn("__results", result).select(*(F.col(f"`{c}`") for c in df.columns), "__results.*")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts' UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

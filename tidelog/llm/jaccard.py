@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, map_batches, stored, utf8
+from .common import bounded_batches, cut, map_batches, stored, utf8, with_results
 from .words import SPACE_TABLE, hash_words, mix, rolling
 
 WORDS, PERCENT = 4, 85
@@ -65,13 +65,12 @@ def node_of(shingles: np.ndarray) -> int | None:
 
 def with_nodes(df: DataFrame, text_col: str, k: int, node_col: str = "node") -> DataFrame:
     """df, n_shingles and the node of its set (null for the empty set)."""
-    place = df.columns.index(text_col)
 
     def run(batch):
-        sets = shingle_sets(utf8(batch.column(place)), k)
+        sets = shingle_sets(utf8(batch.column(0)), k)
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
 
-    return map_batches(df, f"n_shingles long, `{node_col}` long", run)
+    return with_results(df, f"n_shingles long, `{node_col}` long", run, [text_col])
 
 
 def unpack(packed: bytes) -> np.ndarray:

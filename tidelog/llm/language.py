@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches
+from .common import bounded_batches, map_batches, with_results
 
 #: Hash buckets, dimensions, subword lengths in bytes.
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
@@ -149,11 +149,10 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df plus lang_pred, score (calibrated, 0 to 1) and rejected."""
     rows = df.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    text, letter = rows.columns.index(text_col), rows.columns.index("__letter")
 
     def run(batch):
         names, scores = [], []
-        for x, ok in zip(batch.column(text).to_pylist(), batch.column(letter).to_pylist()):
+        for x, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if ok and model.languages:
                 p = model.scores(model.logits(x))
                 names.append(model.languages[int(p.argmax())])
@@ -163,7 +162,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores.append(0.0)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < model.accept for n, s in zip(names, scores)], pa.bool_())]
 
-    return map_batches(rows, "lang_pred string, score double, rejected boolean", run).drop("__letter")
+    return with_results(rows, "lang_pred string, score double, rejected boolean", run, [text_col, "__letter"]).drop("__letter")
 
 
 def held_out(id_col: str) -> F.Column:
