@@ -88,6 +88,15 @@ def test_terms_that_tell_an_entity_go(spark):
     assert all(out[i] == (t,) for i, t in rows[4:])
 
 
+@pytest.mark.parametrize("documents", [1, 2])
+def test_rare_entities_have_terms(spark, documents):
+    rows = [(k, f"all there is: Quetzal has who@where.org, all there {k}") for k in range(documents)]
+    rows += [(100 + k, f"all there is here has nothing of it, all there {k % 3}") for k in range(60)]
+    out = by_id(pii.sanitise(frame(spark, rows)), "text")
+    assert all(out[k] == (f"all there is: [NAME] has [EMAIL], all there {k}",) for k in range(documents))
+    assert all(out[i] == (t,) for i, t in rows[documents:])
+
+
 # --- 3 and 9 ---
 
 

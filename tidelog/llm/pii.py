@@ -3,11 +3,13 @@
 DataFrame functions only. The protected entities are the values that the patterns
 find. For every entity c and every term t in a window of words around it, the corpus
 gives n(c) and n(t), the documents with c and with t, and n(c, t), those with t in
-the window of c. The pointwise mutual information log2(N n(c,t) / n(c) n(t)) is what
-t tells of c, the information content log2(N / n(c)) all there is to tell. A term
-whose quotient of both reaches REMOVE is removed from the windows of that entity, one
-that reaches GENERALISE is replaced by its kind (name, number, word); pairs in fewer
-than SUPPORT documents tell nothing. Documents without an entity are never changed.
+the window of c. What t tells of c is the pointwise mutual information
+log2(p(c|t) / p(c)) with p(c) = n(c) / N, all there is to tell the information content
+log2(1 / p(c)). p(c|t) is (n(c,t) + p(c)) / (n(t) + 1): one more document with t, in
+which c is as likely as anywhere, so that few documents tell less than many and entities
+of one document are judged too. A term whose quotient of both reaches REMOVE is removed
+from the windows of that entity, one that reaches GENERALISE is replaced by its kind
+(name, number, word). Documents without an entity are never changed.
 
 All counts are over all documents. Null text is empty: no span. Texts of any length
 are read whole. Rows with equal id and text get the same spans; others stay apart.
@@ -31,8 +33,8 @@ PATTERNS = {
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Words on each side of an entity, least documents of a pair, quotients from which terms are replaced and removed.
-REACH, SUPPORT, GENERALISE, REMOVE = 3, 3, 0.8, 0.95
+#: Words on each side of an entity, quotients from which terms are replaced and removed.
+REACH, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Characters on each side of an entity in which its window's words are looked for.
 AROUND = 96
 
@@ -142,11 +144,12 @@ def document_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 def disclosing(df: DataFrame, near: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """entity, term, told (part of the entity's information that the term tells), action: the pairs at GENERALISE or more."""
-    pairs = near.select(*keys, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    pairs = near.select(*keys, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     entities = near.select(*keys, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = df.agg(F.count("*").alias("n_all"))
     joined = pairs.join(entities, "entity").join(document_counts(df, text_col), "term").crossJoin(F.broadcast(total))
-    told = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.col("n_all") / F.col("n_entity"))
+    prior = F.col("n_entity") / F.col("n_all")
+    told = 1 - F.log2((F.col("n_both") + prior) / (F.col("n_term") + 1)) / F.log2(prior)
     scored = joined.where("n_all > n_entity").withColumn("told", told).where(F.col("told") >= GENERALISE)
     return scored.select("entity", "term", "told", F.when(F.col("told") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
 
