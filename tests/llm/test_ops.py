@@ -97,6 +97,12 @@ def test_rare_entities_have_terms(spark, documents):
     assert all(out[i] == (t,) for i, t in rows[documents:])
 
 
+def test_first_word_of_a_text_is_a_term(spark):
+    rows = [(1, "Quetzal who@where.org"), (2, "Alice: +1 (377) 555-0271")] + [(100 + k, f"nothing here {k % 3}") for k in range(60)]
+    out = by_id(pii.sanitise(frame(spark, rows)), "text")
+    assert out[1] == ("[NAME] [EMAIL]",) and out[2] == ("[NAME]: [PHONE]",)
+
+
 # --- 3 and 9 ---
 
 

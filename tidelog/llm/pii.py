@@ -118,7 +118,8 @@ def window_terms(df: DataFrame, keys: list[str], text_col: str, spans_col: str)
     left = F.substr("__text", before + 1, F.greatest(start - before, F.lit(0)))
     right = F.substr("__text", end + 1, F.greatest(after - end, F.lit(0)))
     # A word that the window's edge cuts off is none.
-    left = F.regexp_replace(left, rf"^{WORD}", " ")
+    cut_off = (before > 0) & F.substr("__text", before, F.lit(1)).rlike(WORD)
+    left = F.when(cut_off, F.regexp_replace(left, rf"^{WORD}", " ")).otherwise(left)
     narrow = rows.select(*keys, entity(F.col("__s")).alias("entity"), before.alias("__before"), start.alias("__start"), left.alias("__left"), right.alias("__right"), end.alias("__end"))
     side = lambda text, at, is_left: narrow.select(*keys, "entity", F.col(text).alias("__text"), at.alias("__at"), F.lit(is_left).alias("__is_left"))
     both = side("__left", F.col("__start") - F.length("__left"), True).unionByName(side("__right", F.col("__end"), False))
