@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,53 @@ def test_first_word_of_a_text_is_a_term(spark):
     assert out[1] == ("[NAME] [EMAIL]",) and out[2] == ("[NAME]: [PHONE]",)
 
 
+def test_terms_go_at_all_their_places(spark):
+    far = "it has all there is " * 40
+    rows = [(1, f"Quetzal is here: {far}who@where.org all there is. {far}Quetzal has it."), (2, f"who@where.org has it. {far}quetzal"), (3, "+1 (377) 555-0271 Quetzals it is")]
+    rows += [(100 + k, f"it is here has all there {k % 3}") for k in range(60)]
+    out = by_id(pii.sanitise(frame(spark, rows)), "text")
+    assert out[1] == (f"[NAME] is here: {far}[EMAIL] all there is. {far}[NAME] has it.",)
+    assert out[2] == (f"[EMAIL] has it. {far}[WORD]",) and out[3] == ("[PHONE] [NAME] it is",)
+
+
+def terms_by_brute_force(rows):
+    """{id: [(start, end, action)]}, counted pair by pair. Rows have different ids."""
+    words, entities, base = {}, {}, {}
+    for i, text in rows:
+        found = [x.split(":") for x in B.pii(text)]
+        base[i], bare = [(k, int(a), int(b)) for k, a, b in found], list(text or "")
+        for _, a, b in base[i]:
+            bare[a:b] = " " * (b - a)
+        words[i] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", "".join(bare))]
+        entities[i] = {(k, re.sub("[^0-9]", "", text[a:b]) if k in ("card", "phone") else text[a:b].lower()) for k, a, b in base[i]}
+    holding = lambda sets: {x: {i for i in sets if x in sets[i]} for x in set().union(*sets.values())}
+    terms, owners, out = holding({i: {w for w, _, _ in x} for i, x in words.items()}), holding(entities), {}
+    for i in words:
+        best = {}
+        for t in {w for w, _, _ in words[i]}:
+            for c in entities[i]:
+                p = len(owners[c]) / len(rows)
+                if p < 1:
+                    told = math.log2((len(owners[c] & terms[t]) + p) / (len(terms[t]) + 1) / p) / math.log2(1 / p)
+                    best[t] = max(best.get(t, 0), told)
+        out[i] = sorted((a, b, "remove" if best[t] >= pii.REMOVE else "generalise") for t, a, b in words[i] if best.get(t, 0) >= pii.GENERALISE)
+    return out
+
+
+def test_terms_match_brute_force(spark, sf):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(400):
+        mails = [f"m{n}@x.org" for n in (0, 1, 2, 3, 50, 51, 52) if rnd.random() < (0.3 if n == 0 else 0.02)] + ["" if k % 9 else f"own{k}@x.org"]
+        text = [f"W{rnd.randint(0, int(10 ** rnd.uniform(0.5, 4)))}" for _ in range(rnd.choice([0, 5, 40, 700]))] + [f"with{m[:2]}" for m in mails] + mails
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text)))
+    for df, texts in ((frame(spark, rows), rows), (spark.read.parquet(f"{sf}/documents.parquet"), docs_of(sf))):
+        want = terms_by_brute_force(texts)
+        got = {i: sorted((s["start"], s["end"], s["value"]) for s in x) for i, (x,) in by_id(pii.all_spans(df), "extra").items()}
+        assert got == want and any(want.values())
+
+
 # --- 3 and 9 ---
 
 

@@ -1,15 +1,14 @@
 """PII: patterns for e-mail, ip, card and phone, and information-theoretic sanitisation of what gives them away.
 
 DataFrame functions only. The protected entities are the values that the patterns
-find. For every entity c and every term t in a window of words around it, the corpus
-gives n(c) and n(t), the documents with c and with t, and n(c, t), those with t in
-the window of c. What t tells of c is the pointwise mutual information
-log2(p(c|t) / p(c)) with p(c) = n(c) / N, all there is to tell the information content
-log2(1 / p(c)). p(c|t) is (n(c,t) + p(c)) / (n(t) + 1): one more document with t, in
-which c is as likely as anywhere, so that few documents tell less than many and entities
-of one document are judged too. A term whose quotient of both reaches REMOVE is removed
-from the windows of that entity, one that reaches GENERALISE is replaced by its kind
-(name, number, word). Documents without an entity are never changed.
+find. For every entity c and every term t (a word besides the entities) the corpus gives
+n(c), n(t) and n(c, t), the documents with c, with t and with both. What t tells of c
+is the pointwise mutual information log2(p(c|t) / p(c)) with p(c) = n(c) / N, all there
+is to tell the information content log2(1 / p(c)). p(c|t) is (n(c,t) + p(c)) / (n(t) + 1):
+one more document with t, in which c is as likely as anywhere, so that few documents tell
+less than many and entities of one document are judged too. A term whose quotient of both
+reaches REMOVE is removed at all its places in the documents of that entity, at GENERALISE
+it is replaced by its kind (name, number, word). Documents without an entity are never changed.
 
 All counts are over all documents. Null text is empty: no span. Texts of any length
 are read whole. Rows with equal id and text get the same spans; others stay apart.
@@ -33,10 +32,10 @@ PATTERNS = {
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Words on each side of an entity, quotients from which terms are replaced and removed.
-REACH, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Characters on each side of an entity in which its window's words are looked for.
-AROUND = 96
+#: Quotients from which terms are replaced and removed.
+GENERALISE, REMOVE = 0.8, 0.95
+#: Words that are placed at once.
+BLOCK = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -109,65 +108,103 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
 
 
-def window_terms(df: DataFrame, keys: list[str], text_col: str, spans_col: str) -> DataFrame:
-    """keys, entity, term, start, end: the REACH words on each side of every entity, cut to its own line and clear of other entities."""
-    rows = df.select(*keys, F.col(text_col).alias("__text"), F.col(spans_col).alias("__spans"), F.posexplode(spans_col).alias("__k", "__s"))
-    start, end = F.col("__s.start"), F.col("__s.end")
-    before = F.greatest(start - AROUND, F.lit(0), F.coalesce(F.get("__spans", F.col("__k") - 1)["end"], F.lit(0)))
-    after = F.least(end + AROUND, F.coalesce(F.get("__spans", F.col("__k") + 1)["start"], F.lit(2**31 - 1)))
-    left = F.substr("__text", before + 1, F.greatest(start - before, F.lit(0)))
-    right = F.substr("__text", end + 1, F.greatest(after - end, F.lit(0)))
-    # A word that the window's edge cuts off is none.
-    cut_off = (before > 0) & F.substr("__text", before, F.lit(1)).rlike(WORD)
-    left = F.when(cut_off, F.regexp_replace(left, rf"^{WORD}", " ")).otherwise(left)
-    narrow = rows.select(*keys, entity(F.col("__s")).alias("entity"), before.alias("__before"), start.alias("__start"), left.alias("__left"), right.alias("__right"), end.alias("__end"))
-    side = lambda text, at, is_left: narrow.select(*keys, "entity", F.col(text).alias("__text"), at.alias("__at"), F.lit(is_left).alias("__is_left"))
-    both = side("__left", F.col("__start") - F.length("__left"), True).unionByName(side("__right", F.col("__end"), False))
-    found, pieces = F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)), F.split("__text", WORD, -1)
-    placed = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value"))),
-        F.struct(F.col("__at").alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["piece"])).alias("start"), (s["at"] + F.length(x["piece"]) + F.length(x["value"])).alias("end"), x["value"].alias("term")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    words = F.when(F.col("__is_left"), F.reverse(F.col("__words"))).otherwise(F.col("__words"))
-    return both.withColumn("__words", placed).select(*keys, "entity", F.explode(F.slice(words, 1, REACH)).alias("w")).select(*keys, "entity", F.lower("w.term").alias("term"), "w.start", "w.end")
-
-
-def document_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """term, n: the documents that have the term, of all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0)))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces for its spans, so that other places don't move."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), end - start))).alias("out"))
+
+    done = F.aggregate(spans, state, step)
+    rest = F.substr(text, done["at"] + 1, F.greatest(F.length(text) - done["at"], F.lit(0)))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
+
+
+def words_of(text: Column) -> Column:
+    """Array of arrays of (term, start, end): the text's words in blocks of BLOCK, so that no array grows by one element a word."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.zip_with(F.slice(F.split(text, WORD, -1), 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), F.length(v).alias("long"), F.lower(v).alias("term")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), lambda k: F.slice(words, k * BLOCK + 1, BLOCK))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, w: n + w["gap"] + w["long"]))
+    starts = F.aggregate(
+        sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"],
+    )
+
+    def placed(block: Column, at: Column) -> Column:
+        state = F.struct(at.alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
+
+        def step(s: Column, w: Column) -> Column:
+            start = s["at"] + w["gap"]
+            end = start + w["long"]
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(w["term"].alias("term"), start.alias("start"), end.alias("end")))).alias("out"))
+
+        return F.aggregate(block, state, step, lambda s: s["out"])
+
+    none = F.array().cast("array<array<struct<term:string,start:int,end:int>>>")
+    return F.when(F.size(found) > 0, F.zip_with(blocks, starts, placed)).otherwise(none)
+
+
+def private_documents(rows: DataFrame) -> DataFrame:
+    """__doc, __id, __hash, n (rows with this id and text), base and __bare (the text without its spans) of the documents with an entity."""
+    one = rows.where(F.size("base") > 0).groupBy("__id", "__hash").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("__text").alias("__text"))
+    bare = one.select("__id", "__hash", "n", "base", blanked(F.col("__text"), F.col("base")).alias("__bare"))
+    return stored(bare.withColumn("__doc", F.monotonically_increasing_id()), "pii-private")
+
+
+def document_counts(df: DataFrame, text_col: str, spans_col: str) -> DataFrame:
+    """term, n_term: the documents that have the term besides their spans, of all documents."""
+    text = blanked(F.coalesce(F.col(text_col), F.lit("")), F.col(spans_col))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
     return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosing(df: DataFrame, near: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """entity, term, told (part of the entity's information that the term tells), action: the pairs at GENERALISE or more."""
-    pairs = near.select(*keys, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = near.select(*keys, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = df.agg(F.count("*").alias("n_all"))
-    joined = pairs.join(entities, "entity").join(document_counts(df, text_col), "term").crossJoin(F.broadcast(total))
+def told(n_both: Column, n_term: Column) -> Column:
+    """What a term tells of an entity, as a part of all there is to tell."""
     prior = F.col("n_entity") / F.col("n_all")
-    told = 1 - F.log2((F.col("n_both") + prior) / (F.col("n_term") + 1)) / F.log2(prior)
-    scored = joined.where("n_all > n_entity").withColumn("told", told).where(F.col("told") >= GENERALISE)
-    return scored.select("entity", "term", "told", F.when(F.col("told") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
+    return 1 - F.log2((n_both + prior) / (n_term + 1)) / F.log2(prior)
+
+
+def disclosed(rows: DataFrame, private: DataFrame) -> DataFrame:
+    """__doc, start, end, action: every place of a term in a document of an entity of which it tells GENERALISE or more.
+
+    Entities that stand in the same documents are one class, so are terms: what they tell is the same, and pairs are
+    counted by class. Before that go the terms that are in too many documents for any of their pairs to tell enough.
+    """
+    set_of = F.bit_xor(F.xxhash64("__doc"))
+    entities = private.select("__doc", "n", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    counted = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), set_of.alias("e_set"))
+    total = rows.agg(F.count("*").alias("n_all"))
+    entities = stored(entities.join(counted, "entity").select("__doc", "n", "n_entity", "e_set").distinct().crossJoin(F.broadcast(total)).where("n_all > n_entity"), "pii-entities")
+    # With t in as many documents of c as there can be; and with t in all of them, which grows with n_entity, so that the most frequent entity bounds all.
+    possible = told(F.least("n_entity", "n_term"), F.col("n_term")) >= GENERALISE - 1e-9
+    ever = told(F.col("n_entity"), F.col("n_term")) >= GENERALISE - 1e-9
+    most = entities.agg(F.max("n_entity").alias("n_entity"), F.max("n_all").alias("n_all"))
+    places = private.select("__doc", F.explode(words_of(F.col("__bare"))).alias("__block")).select("__doc", F.inline("__block"))
+    terms = stored(places.groupBy("__doc", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "pii-terms")
+    rare = document_counts(rows, "__text", "base").crossJoin(F.broadcast(most)).where(ever).select("term", "n_term")
+    rare = terms.groupBy("term").agg(set_of.alias("t_set")).join(rare, "term")
+    terms = stored(terms.join(rare, "term").select("__doc", "places", "n_term", "t_set"), "pii-rare")
+    pairs = stored(entities.join(terms.select("__doc", "n_term", "t_set").distinct(), "__doc").where(possible), "pii-pairs")
+    scored = pairs.groupBy("n_entity", "e_set", "n_term", "t_set", "n_all").agg(F.sum("n").alias("n_both")).withColumn("told", told(F.col("n_both"), F.col("n_term"))).where(F.col("told") >= GENERALISE)
+    action = F.when(F.col("told") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
+    scored = scored.select("n_entity", "e_set", "n_term", "t_set", action.alias("action"))
+    hit = pairs.join(scored, ["n_entity", "e_set", "n_term", "t_set"]).groupBy("__doc", "n_term", "t_set").agg(F.max("action").alias("action"))
+    return terms.join(hit, ["__doc", "n_term", "t_set"]).select("__doc", "action", F.inline("places"))
 
 
 def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, __hash (of the text), base and extra spans (kind, start, end, value); extra ones have kind `term` and value remove or generalise."""
     hashed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__hash", F.sha2(F.coalesce("__text", F.lit("")), 256))
     rows = base_spans(hashed, "__text", "base")
-    private = rows.where(F.size("base") > 0)
-    near = stored(window_terms(private, ["__id", "__hash"], "__text", "base"), "pii-terms")
-    pairs = disclosing(df.select(F.col(text_col).alias("__text")), near, "__text", ["__id", "__hash"])
+    private = private_documents(rows)
     span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"), F.col("action").alias("value"))
-    hit = near.join(pairs, ["entity", "term"]).groupBy("__id", "__hash", "start", "end").agg(F.max("action").alias("action"))
-    extra = hit.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(span), by_place).alias("extra")).withColumnRenamed("__id", "__id2").withColumnRenamed("__hash", "__hash2")
+    extra = disclosed(rows, private).groupBy("__doc").agg(F.array_sort(F.collect_list(span), by_place).alias("extra"))
+    found = private.join(extra, "__doc", "left").select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "base", "extra")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    out = rows.select("__id", "__hash", "base").join(extra, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
-    return out.select(F.col("__id").alias(id_col), "__hash", "base", F.coalesce("extra", none).alias("extra"))
+    out = hashed.select("__id", "__hash").join(found, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
+    return out.select(F.col("__id").alias(id_col), "__hash", F.coalesce("base", none).alias("base"), F.coalesce("extra", none).alias("extra"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
