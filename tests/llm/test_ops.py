@@ -264,6 +264,16 @@ def test_groups_of_near_copies(spark, monkeypatch, hot):
     assert kept == {d for d, (n, c) in got.items() if d == c}
 
 
+def test_one_of_each_with_null_and_equal_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(30))
+    near = text(1) + " and"
+    rows = [(None, text(1)), (None, near), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, text(5)), (6, text(4)), (None, text(4)), (5, "")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(frame(spark, rows)).collect()]
+    first = [x for x in kept if x[1] in (text(1), near)]
+    assert len(first) == 1 and first[0][0] is None
+    assert sorted((x for x in kept if x not in first), key=repr) == sorted([(None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, "")], key=repr)
+
+
 # --- 7 ---
 
 

@@ -326,7 +326,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a document: id, n_shingles, node, component_id (the smallest id that links lead to, its own included)."""
+    """One row a document: id, n_shingles, node, label (of its component; null as the node is), component_id (the smallest id that links lead to, its own included)."""
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     texts = rows.select("__text")
     documents = stored(with_nodes(rows, "__text", k).drop("__text"), "nodes")
@@ -342,18 +342,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = documents.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    placed = named.join(groups, "label").select("node", "component_id")
+    placed = named.join(groups, "label").select("node", "label", "component_id")
     out = documents.join(placed, "node", "left")
-    return out.select(F.col("__id").alias(id_col), "n_shingles", "node", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("__id").alias(id_col), "n_shingles", "node", "label", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """df with one document of each group: that with the component's id (the first by text order if all ids are null; one of rows repeated in id). Documents without words all stay."""
     groups = similar_groups(df, id_col, text_col, k, percent)
-    sizes = groups.where("node is not null").groupBy("component_id").agg(F.count("*").alias("__n"), F.min_by("node", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("node"))).alias("__keep"))
-    several = sizes.where("__n > 1").select(F.col("component_id").alias("__c"), "__keep")
+    # By label: ids may be null or stand in several components.
+    sizes = groups.where("label is not null").groupBy("label").agg(F.count("*").alias("__n"), F.min(id_col).alias("__c"), F.min_by("node", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("node"))).alias("__keep"))
+    several = sizes.where("__n > 1").select("label", "__c", "__keep")
     # Only nodes of groups of several are joined to the documents: node, and whether it is the one that stays.
-    grouped = groups.where("node is not null").join(several, F.col("component_id").eqNullSafe(F.col("__c"))).groupBy(F.col("node").alias("__gnode")).agg(F.min("__c").alias("__c"), F.min("__keep").alias("__keep"))
+    grouped = groups.where("label is not null").join(several, "label").groupBy(F.col("node").alias("__gnode")).agg(F.min("__c").alias("__c"), F.min("__keep").alias("__keep"))
     rows = with_nodes(df.withColumnRenamed("n_shingles", "__n_shingles"), text_col, k, "__node").drop("n_shingles").join(grouped, F.col("__node") == F.col("__gnode"), "left")
     alone = F.col("__gnode").isNull()
     kept = rows.where(alone | ((F.col("__node") == F.col("__keep")) & F.col(id_col).eqNullSafe(F.col("__c"))))
