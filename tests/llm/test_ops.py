@@ -287,6 +287,25 @@ def test_licenses_match_brute_force(spark, sf):
         assert got == want
 
 
+def test_notices_with_inserted_missing_and_swapped_words(spark):
+    notice = licenses.NOTICES["bsd-text"].split()
+    at = notice.index("modification")
+    inserted, missing, swapped = list(notice), [w for w in notice if w != "modification"], list(notice)
+    inserted.insert(at, "any")
+    swapped[2], swapped[3] = swapped[3], swapped[2]
+    fragment = " ".join(notice[:4] * 12)
+    texts = [" ".join(["So"] * k + x) for k in (0, 7) for x in (notice, inserted, missing, swapped)] + [fragment]
+    found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
+    for k, text in enumerate(texts[:-1]):
+        (span,) = found[k][0]
+        words = B.words(text)
+        grams = {tuple(notice[p : p + 4]) for p in range(len(notice) - 3)}
+        places = [p for p in range(len(words) - 3) if tuple(words[p : p + 4]) in grams]
+        assert (span["label"], span["start"], span["end"]) == ("bsd-text", places[0], places[-1] + 4)
+        assert span["cover"] == pytest.approx(len(places) / len(grams)) and span["cover"] >= 0.7
+    assert found[len(texts) - 1][0] == []
+
+
 # --- 8 ---
 
 

@@ -103,15 +103,17 @@ def spans_of(diagonals: list[dict]) -> list[tuple[int, int, int, float]]:
     for d in diagonals:
         n, k, whole = sizes[d["template"]]
         last = groups[-1] if groups else None
-        if last and not whole and last["template"] == d["template"] and d["diagonal"] - last["diagonal"] <= DRIFT and d["low"] >= last["low"]:
-            last |= {"diagonal": d["diagonal"], "votes": last["votes"] + d["votes"], "high": max(last["high"], d["high"])}
+        held = (d["low"] - d["diagonal"], d["high"] - d["diagonal"])
+        # Near diagonals of one template are near in place too. A missing word makes the later part's diagonal the smaller one, so it comes first.
+        if last and not whole and last["template"] == d["template"] and d["diagonal"] - last["diagonal"] <= DRIFT:
+            last |= {"diagonal": d["diagonal"], "votes": last["votes"] + d["votes"], "low": min(last["low"], d["low"]), "high": max(last["high"], d["high"]), "held": [*last["held"], held]}
         else:
-            groups.append(dict(d))
+            groups.append(d | {"held": [held]})
     for g in groups:
         n, k, whole = sizes[g["template"]]
         grams = n - k + 1
-        # Votes of one span can't be worth more than the template, nor than the places it covers.
-        cover = min(g["votes"], g["high"] - g["low"] + 1, grams) / grams
+        # Votes of one span can't be worth more than the template's places between which they are, each once.
+        cover = min(g["votes"], len({p for a, b in g["held"] for p in range(a, b + 1)})) / grams
         if cover >= (1 if whole else NOTICE_COVER):
             out.append((g["template"], g["low"], g["high"] + k, cover))
     return out
