@@ -94,6 +94,15 @@ def test_count_drift_fails_the_migration(spark):
     assert e.status("a")["phase"] == "FAILED" and not e.aliases
 
 
+@pytest.mark.parametrize("aware", [False, True])
+def test_deletes_are_transformed_only_when_asked(spark, aware):
+    e = engine(spark)
+    rekey = lambda d: d.withColumn("_id", F.concat(F.lit("t-"), "_id")).withColumn("value", F.col("value").cast("long"))
+    e.start(Request("a", "b", "c", transform=rekey, options=Options(apply_to_deletes=aware, tolerance=1)))
+    assert sorted(r["_id"] for r in e.indices["b"].collect()) == (["t-y", "t-z"] if aware else ["t-x", "t-y", "t-z"])
+    assert dict(e.indices["b"].dtypes)["value"] == "bigint"
+
+
 @pytest.mark.parametrize("files", [1, 3, 7])
 def test_any_number_of_rounds_gives_one_state(spark, sf, tmp_path, files):
     log = op_log(spark, sf)
