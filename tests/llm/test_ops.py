@@ -212,6 +212,16 @@ def test_language_without_letters(spark):
     assert language.train(rows.limit(0), "text", "lang", "doc_id").languages == []
 
 
+def test_all_languages_are_learned(spark):
+    rows = [(k, f"{chr(0x4E00 + 7 * n) * 6} {chr(0x4E03 + 7 * n) * 6}", f"l{n}") for n in range(90) for k in range(n * 100, n * 100 + (1 if n == 89 else 2 if n > 80 else 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, "text", "lang", "doc_id")
+    assert model.languages == sorted({r[2] for r in rows})
+    got = by_id(language.predict(df, model), "lang_pred")
+    right = {lang for i, _, lang in rows if got[i] == (lang,)}
+    assert len(right) >= 85 and "l89" in right
+
+
 # --- 5 ---
 
 

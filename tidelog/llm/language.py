@@ -4,7 +4,9 @@ Subwords are the byte n-grams (1 to 4 bytes, spaces included) of the lower-cased
 text, hashed to BUCKETS vectors. A text is the mean of its subwords' vectors; a
 linear softmax on it gives the languages. Vectors and softmax are trained together
 by stochastic gradient descent in numpy, on at most SAMPLE labelled texts chosen by
-a hash of their id: the one bounded sample. A fifth of it is kept from training to
+a hash of their id: the one bounded sample. It is split over all languages of the rows,
+each of which has a text in it at least (so with more than SAMPLE languages it has one
+of each). A fifth of it is kept from training to
 calibrate: it fits the softmax's temperature and the score under which a
 prediction is rejected. Prediction reads every whole text.
 
@@ -21,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, map_batches, with_results
 
 #: Hash buckets, dimensions, subword lengths in bytes.
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
-#: Most labelled texts that training takes, and languages it learns (the most frequent).
-SAMPLE, LANGUAGES = 2000, 64
+#: Most labelled texts that training takes, or one for each language if there are more languages.
+SAMPLE = 2000
 EPOCHS, STEPS, RATE, ROWS_A_STEP = 30, 2000, 4.0, 16
 #: (Epochs are as many as give STEPS steps, EPOCHS at least.)
 #: Of right calibration texts, the share that rejection may cost; no score of a half or more is ever rejected.
@@ -75,9 +78,10 @@ class Model:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], seed: int = 7) -> Model:
-    """rows: (label, buckets, shares of them, which sum to 1). Every fifth row calibrates."""
+    """rows: (label, buckets, shares of them, which sum to 1). Every fifth row calibrates, unless no other row has its language."""
     rng = np.random.default_rng(seed)
-    kept, train = rows[::5], [r for k, r in enumerate(rows) if k % 5 or len(rows) < 10]
+    others = {r[0] for k, r in enumerate(rows) if k % 5}
+    kept, train = [r for r in rows[::5] if r[0] in others], [r for k, r in enumerate(rows) if k % 5 or len(rows) < 10 or r[0] not in others]
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
     softmax, bias = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
     epochs = max(EPOCHS, -(-STEPS * ROWS_A_STEP // max(1, len(train))))
@@ -124,25 +128,30 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("place", place)
+    first = F.struct("place", F.xxhash64("text"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(first).alias("first")).collect()
     if not found:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     languages = sorted(r["lang"] for r in found)
-    each = SAMPLE // len(found)
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, 0.8 * each / r["count"]))])
-    place = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
+    each = SAMPLE / len(found)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 0.8 * each / r["count"]), r["first"]) for r in found], T.StructType.fromDDL("lang string, share double, first struct<place:double,text:long>"))
+    # The first row of each language is in the sample, whatever its share.
+    firsts = F.struct(F.col("place"), F.xxhash64("text").alias("text")) == F.col("first")
+    chosen = rows.join(F.broadcast(shares), "lang").withColumn("is_first", firsts).where(F.col("is_first") | (F.col("place") < F.col("share"))).select("id", "text", "lang", "place", "is_first")
 
     def count(batch):
         out = [sum(np.bincount(b, minlength=BUCKETS) for b in subwords(x)) for x in batch.column(1).to_pylist()]
         found = [np.flatnonzero(c) for c in out]
         return [pa.array([b.astype("<u2").tobytes() for b in found], pa.binary()), pa.array([np.minimum(c[b], 65535).astype("<u2").tobytes() for c, b in zip(out, found)], pa.binary())]
 
-    counted = map_batches(chosen, "buckets binary, counts binary", count, ("text",)).select("lang", "place", "buckets", "counts")
-    sample = []
-    for r in counted.orderBy("place", "lang", "buckets").limit(SAMPLE).collect():
+    counted = map_batches(chosen, "buckets binary, counts binary", count, ("text",)).select("lang", "place", "is_first", "buckets", "counts")
+    sample, known = [], {x: k for k, x in enumerate(languages)}
+    taken = counted.orderBy(F.desc("is_first"), "place", "lang", "buckets").limit(max(SAMPLE, len(found))).collect()
+    for r in sorted(taken, key=lambda r: (r["place"], r["lang"].encode(), bytes(r["buckets"]))):
         c = np.frombuffer(r["counts"], "<u2").astype(np.float64)
-        sample.append((languages.index(r["lang"]), np.frombuffer(r["buckets"], "<u2").astype(np.int64), c / c.sum()))
+        sample.append((known[r["lang"]], np.frombuffer(r["buckets"], "<u2").astype(np.int64), c / c.sum()))
     return fit(sample, languages, seed)
 
 
