@@ -16,7 +16,7 @@ from tidelog.llm.queries import tokenizer
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents whose language is rejected (no letter, or a score below the calibrated one) go."""
+    """Operator 4: documents whose language is rejected (no letter, or a margin below the calibrated one) go."""
     model = language.train(docs, "text", "lang", "doc_id")
     names = [f"__{k}" for k in range(len(docs.columns))]  # docs may have columns named as predict's
     return language.predict(docs.toDF(*names), model, names[docs.columns.index("text")]).where("not rejected").select(*names).toDF(*docs.columns)

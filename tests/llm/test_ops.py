@@ -222,6 +222,15 @@ def test_all_languages_are_learned(spark):
     assert len(right) >= 85 and "l89" in right
 
 
+def test_unlearned_language_is_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text rlike '[a-z]'")
+    two = sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"])[:2]
+    model = language.train(docs.where(F.col("lang").isin(two)), "text", "lang", "doc_id")
+    got = language.predict(docs, model).select("lang", "rejected").collect()
+    known, other = [[r["rejected"] for r in got if (r["lang"] in two) == x] for x in (True, False)]
+    assert len(other) > 20 and sum(other) >= 0.9 * len(other) and sum(known) <= 0.02 * len(known)
+
+
 # --- 5 ---
 
 

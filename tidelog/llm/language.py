@@ -7,8 +7,11 @@ by stochastic gradient descent in numpy, on at most SAMPLE labelled texts chosen
 a hash of their id: the one bounded sample. It is split over all languages of the rows,
 each of which has a text in it at least (so with more than SAMPLE languages it has one
 of each). A fifth of it is kept from training to
-calibrate: it fits the softmax's temperature and the score under which a
-prediction is rejected. Prediction reads every whole text.
+calibrate: it fits the softmax's temperature and the margin (of the best logit over
+the next) under which a prediction is rejected: the best score of two languages is
+never under a half, but a text in neither gives both about the same. With one language
+there is no margin, and only texts without a letter are rejected. Prediction reads
+every whole text.
 
 A null text or one without a letter has no language: `und`, score 0, rejected.
 With no labelled text at all every document is `und`.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 SAMPLE = 2000
 EPOCHS, STEPS, RATE, ROWS_A_STEP = 30, 2000, 4.0, 16
 #: (Epochs are as many as give STEPS steps, EPOCHS at least.)
-#: Of right calibration texts, the share that rejection may cost; no score of a half or more is ever rejected.
+#: Of right calibration texts, the share that rejection may cost.
 COST = 0.002
 #: Bytes whose subwords are looked up at once.
 SLICE = 1 << 16
@@ -56,7 +60,7 @@ def subwords(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages, the logits that each bucket adds (vector times softmax), bias, temperature, least score accepted."""
+    """languages, the logits that each bucket adds (vector times softmax), bias, temperature, least margin accepted."""
 
     languages: list[str]
     weights: np.ndarray
@@ -77,6 +81,14 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
+def margins(logits: np.ndarray) -> np.ndarray:
+    """The best logit over the next; without bound for a single language."""
+    if logits.shape[-1] < 2:
+        return np.full(logits.shape[:-1], np.inf)
+    best = np.partition(logits, -2, axis=-1)
+    return best[..., -1] - best[..., -2]
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], seed: int = 7) -> Model:
     """rows: (label, buckets, shares of them, which sum to 1). Every fifth row calibrates, unless no other row has its language."""
     rng = np.random.default_rng(seed)
@@ -107,7 +119,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], se
 
 
 def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-    """The temperature with the least log loss on rows not trained on, and the least score accepted."""
+    """The temperature with the least log loss on rows not trained on, and the least margin accepted."""
     if not rows:
         return
     z = np.stack([share @ model.weights[bucket] + model.bias for _, bucket, share in rows])
@@ -118,9 +130,11 @@ def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> N
         return -np.log(np.maximum(model.scores(z)[np.arange(len(z)), labels], 1e-12)).mean()
 
     model.temperature = float(min(np.geomspace(0.05, 4, 60), key=loss))
-    p = model.scores(z)
-    right = p.max(axis=1)[p.argmax(axis=1) == labels]
-    model.accept = float(min(0.5, np.quantile(right, COST))) if len(right) else 0.0
+    right = margins(z)[z.argmax(axis=1) == labels]
+    if len(right) and len(model.languages) > 1:
+        # Few rows don't show so small a share: then the tail of a normal distribution is lower.
+        tail = right.mean() + NormalDist().inv_cdf(COST) * right.std()
+        model.accept = float(max(0.0, min(tail, np.quantile(right, COST, method="lower"))))
 
 
 def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int = 7) -> Model:
@@ -160,16 +174,19 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     rows = df.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batch):
-        names, scores = [], []
+        names, scores, rejected = [], [], []
         for x, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if ok and model.languages:
-                p = model.scores(model.logits(x))
+                z = model.logits(x)
+                p = model.scores(z)
                 names.append(model.languages[int(p.argmax())])
                 scores.append(min(1.0, float(p.max())))
+                rejected.append(bool(margins(z) < model.accept))
             else:
                 names.append(UNKNOWN)
                 scores.append(0.0)
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < model.accept for n, s in zip(names, scores)], pa.bool_())]
+                rejected.append(True)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
 
     return with_results(rows, "lang_pred string, score double, rejected boolean", run, [text_col, "__letter"]).drop("__letter")
 
