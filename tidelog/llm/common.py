@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +22,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for other tasks, and would hold what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -62,6 +71,7 @@ def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch]
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *function(batch)], names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -73,7 +83,10 @@ def with_results(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch
     names = added.fieldNames()
 
     def run(rows: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(function(pa.RecordBatch.from_struct_array(rows)), names)
+        try:
+            return pa.StructArray.from_arrays(function(pa.RecordBatch.from_struct_array(rows)), names)
+        finally:
+            give_back()
 
     # Nondeterministic, so that the optimiser doesn't run it again for each use of a result.
     result = F.arrow_udf(run, added).asNondeterministic()(F.struct(*(F.col(f"`{c}`") for c in inputs)))
