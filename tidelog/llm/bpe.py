@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import KEPT, map_batches
 
 #: Words kept with their tokens by a Python worker; the memory is emptied when full.
 WORDS = 1 << 18
@@ -233,6 +233,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(merge_list(path))
 
 
+KEPT["bpe"] = [encoder.cache_clear, merge_list.cache_clear]
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
     """df, `n_col` and `ids_col`: the ids as little-endian 32-bit integers in a binary. Null text: no ids."""
     place = df.columns.index(text_col)
@@ -242,7 +245,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         ids = [e.encode(x or "") for x in batch.column(place).to_pylist()]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-    return map_batches(df, f"`{n_col}` long, `{ids_col}` binary", run)
+    return map_batches(df, f"`{n_col}` long, `{ids_col}` binary", run, owner="bpe")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -253,7 +256,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         d = Decoder(merge_list(path))
         return [pa.array(["".join(d.decode(x or b"")) for x in batch.column(place).to_pylist()], pa.string())]
 
-    return map_batches(df, f"`{text_col}` string", run)
+    return map_batches(df, f"`{text_col}` string", run, owner="bpe")
 
 
 def digest_text(e: Encoder, d: Decoder, text: str) -> tuple[int, str, str, bool]:
@@ -281,4 +284,4 @@ def token_digest(df: DataFrame, path: str, id_cols: list[str], text_col: str = "
         n, ids, back, same = zip(*(digest_text(e, d, x or "") for x in batch.column(place).to_pylist()))
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
 
-    return map_batches(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", run, ("__text",))
+    return map_batches(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", run, ("__text",), owner="bpe")

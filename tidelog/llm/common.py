@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: How to empty what a Python worker keeps between tasks (vocabularies, words), by the operator that keeps it.
+KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def make_room(owner: str = "") -> None:
+    """At a task's beginning: empty what other operators keep in this worker."""
+    for name, clears in KEPT.items():
+        for clear in clears if name != owner else ():
+            clear()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker stays for other tasks, and would hold what its largest one took."""
     pa.default_memory_pool().release_unused()
@@ -31,20 +43,39 @@ def give_back() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one of our own, if executors are threads of the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def at(spark: SparkSession, path: str):
+    """The path and its file system, of the JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. It goes with the application, or by forget()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    place, files = at(spark, path)
+    files.deleteOnExit(place)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        place, files = at(df.sparkSession, df.stored_at)
+        files.delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,8 +90,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], without: tuple[str, ...] = ()) -> DataFrame:
-    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows. Columns `without` don't come back from Python."""
+def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], without: tuple[str, ...] = (), owner: str = "") -> DataFrame:
+    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows. Columns `without` don't come back from Python. What `owner` keeps stays."""
     bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(columns)
     kept = [k for k, f in enumerate(df.schema.fields) if f.name not in without]
@@ -68,6 +99,7 @@ def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch]
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *function(batch)], names)
@@ -83,6 +115,7 @@ def with_results(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch
     names = added.fieldNames()
 
     def run(rows: pa.Array) -> pa.Array:
+        make_room()
         try:
             return pa.StructArray.from_arrays(function(pa.RecordBatch.from_struct_array(rows)), names)
         finally:

@@ -9,39 +9,54 @@ a pair needs (the smaller l of both) before it is verified on the whole sets.
 
 Equal sets are one node, so copies cost nothing. A pair all of whose shared prefix
 shingles are in at most HOT nodes is counted and verified as above. A shingle in more
-nodes would give pairs by the square of their number: its nodes are compared on their
-whole sets instead, in tiles of bounded size, each of which gives only as many links
-as its components need. So no link is lost and none of those groups is spelled out.
-
-Nodes are 64-bit digests of the sorted set, shingles 64-bit hashes. Null or wordless
+nodes would give pairs by the square of their number. Its nodes are a group instead:
+they are dealt into parts of at most TILE nodes, and in each part all sets are compared
+with each other and with one node of the group, the pivot. 1 - similarity is a metric,
+so a node of the pivot's component can only link with a node outside of it if their
+distances to the pivot differ by no more than 1 - t. The others go; what remains of the
+group takes another pivot. When a round hardly removes anything, all pairs of what
+remains are compared. So no link is lost, and a large group costs in proportion to its
+size as long as pivots tell its families apart.
+
+The texts are read three times (sketch, prefixes, sets of candidates), never moved.
+Nodes are 64-bit digests of the sorted set, shingles 64-bit hashes: sets are told apart
+and compared by them, so of 2^32 different sets about two share a node. Null or wordless
 texts have an empty set and are linked with nothing. Rows with equal or null ids are
-documents of their own; a component's id is the smallest id that isn't null.
+documents of their own; a component's id is the smallest id that isn't null. Ties by
+frequency go by the shingle's hash.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, map_batches, stored, utf8, with_results
+from .common import bounded_batches, cut, forget, give_back, make_room, map_batches, stored, utf8
 from .words import SPACE_TABLE, hash_words, mix, rolling
 
 WORDS, PERCENT = 4, 85
-#: Cells of the frequency sketch and of the node filter (both of fixed size, 16 MB and 1 MB), cells in a row.
-SKETCH, FILTER, BLOCK = 1 << 22, 1 << 23, 1 << 16
+#: Cells of the frequency sketch (16 MB), cells in a row.
+SKETCH, BLOCK = 1 << 22, 1 << 16
+#: Least and most bits of the node filter; between them it has FILTER_LOAD bits a node.
+FILTER, FILTER_LOAD = (1 << 16, 1 << 26), 8
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
-#: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a tile.
-HOT, TILE, TILE_BYTES = 48, 1024, 12 << 20
+#: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a part of a group.
+HOT, TILE, TILE_BYTES = 48, 192, 8 << 20
+#: Most rounds of pivots, and the part of the nodes a round must remove if another one is to follow.
+ROUNDS, GAIN = 8, 0.25
 #: Part of the set by which the second, longer prefix of a candidate pair is lengthened.
 LONGER = 8
+#: Bytes of texts whose shingles are taken at once; nodes that a task remembers, so as to give the set of copies once.
+PORTION, SEEN = 1 << 20, 1 << 17
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -63,50 +78,84 @@ def node_of(shingles: np.ndarray) -> int | None:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def with_nodes(df: DataFrame, text_col: str, k: int, node_col: str = "node") -> DataFrame:
-    """df, n_shingles and the node of its set (null for the empty set)."""
+def sets_in(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a column, PORTION bytes of texts (one at least) at a time."""
+    some, size = [], 0
+    for text in utf8(column):
+        some.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield from shingle_sets(some, k)
+            some, size = [], 0
+    yield from shingle_sets(some, k) if some else ()
+
+
+class Seen:
+    """Whether a task meets a node for the first time, as far as it remembers."""
+
+    def __init__(self):
+        self.nodes: set[int] = set()
+
+    def first(self, node: int | None) -> bool:
+        if node is None or node in self.nodes:
+            return False
+        if len(self.nodes) >= SEEN:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return True
 
-    def run(batch):
-        sets = shingle_sets(utf8(batch.column(0)), k)
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
 
-    return with_results(df, f"n_shingles long, `{node_col}` long", run, [text_col])
+def packed(counts: np.ndarray) -> bytes:
+    """Counts with their bytes sorted by their place in the number, which squeezes well."""
+    return zlib.compress(counts.astype("<u8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    """Counts whose bytes were sorted by their place in the number, which squeezes well."""
     return np.frombuffer(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T.tobytes(), "<u8")
 
 
-def sketch(df: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """How many documents have a shingle of each cell, over all documents; summed on the executors, SKETCH numbers come back."""
-    bounded_batches(df.sparkSession)
-    schema = T.StructType.fromDDL("block int, counts binary")
+def read_once(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Of rows (__id, __hash, __text): a stored table of __id, __hash, n_shingles, node (null for the empty set), and the sketch.
 
-    def rows(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for b, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(c.astype("<u8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)], pa.binary())], ["block", "counts"])
+    The sketch is how many nodes have a shingle of each cell (copies count once a task); tasks sum it, SKETCH numbers reach the driver.
+    """
+    bounded_batches(rows.sparkSession)
+    block = T.StructType.fromDDL("block int, counts binary")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:2]), *T.StructType.fromDDL("n_shingles long, node long").fields, *block.fields])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-    def count(batches):
-        total = np.zeros(SKETCH, np.uint32)
+    def run(batches):
+        make_room()
+        total, seen, last = np.zeros(SKETCH, np.uint32), Seen(), None
         for batch in batches:
-            for s in shingle_sets(utf8(batch.column(0)), k):
-                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-        yield from rows({b: x for b, x in enumerate(total.reshape(-1, BLOCK)) if x.any()})
+            sizes, nodes = [], []
+            for s in sets_in(batch.column(2), k):
+                sizes.append(len(s))
+                nodes.append(node_of(s))
+                if seen.first(nodes[-1]):
+                    np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
+            last = batch
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, kinds[0]), pa.array(nodes, kinds[1]), pa.nulls(len(sizes), kinds[2]), pa.nulls(len(sizes), kinds[3])], schema.fieldNames())
+        for b, x in enumerate(total.reshape(-1, BLOCK) if last is not None else ()):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, last.schema.types[0]), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([b], kinds[2]), pa.array([packed(x)], kinds[3])], schema.fieldNames())
+        del total
+        give_back()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = unpack(c)
-                total[b] = total[b] + part if b in total else part
-        yield from rows(total)
+                total[b] = total[b] + unpack(c) if b in total else unpack(c)
+        for b, c in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], kinds[2]), pa.array([packed(c)], kinds[3])], block.fieldNames())
 
-    found = df.select(text_col).mapInArrow(count, schema).repartition(SKETCH // BLOCK, "block").mapInArrow(add, schema).collect()
-    out = np.zeros(SKETCH, np.uint64)
-    for r in found:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r["counts"])
-    return np.minimum(out, 2**32 - 1).astype(np.uint32)
+    table = stored(rows.mapInArrow(run, schema), "nodes")
+    counts = np.zeros(SKETCH, np.uint64)
+    for r in table.where("block is not null").select("block", "counts").repartition(SKETCH // BLOCK, "block").mapInArrow(add, block).collect():
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r["counts"])
+    documents = table.where("block is null").drop("block", "counts")
+    return documents, np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
@@ -122,24 +171,34 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int)
     return shingles[order[: first - 1 + level]], level
 
 
-def shared_prefixes(df: DataFrame, text_col: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, node, meta, nodes: the prefix shingles of two nodes at least, with the number of their nodes. meta packs place, l and size (see unpacked)."""
+def shared_prefixes(texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """token, node, meta, nodes, pivot: the prefix shingles of two nodes at least, with the number and the least of their nodes. meta packs place, l and size (see unpacked)."""
     usual = float(np.median(counts) + 2 * np.sqrt(np.median(counts)))
+    bounded_batches(texts.sparkSession)
+    schema = T.StructType.fromDDL("node long, size long, tokens array<long>")
 
-    def run(batch):
-        sets = shingle_sets(utf8(batch.column(0)), k)
-        found = [prefix(s, counts, usual, percent) if len(s) else (s, 0) for s in sets]
-        return [
-            pa.array([node_of(s) for s in sets], pa.int64()),
-            pa.array([len(s) << 4 | level for s, (_, level) in zip(sets, found)], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p, _ in found]), pa.int32()), pa.array(np.concatenate([p for p, _ in found]).view(np.int64))),
-        ]
-
-    rows = map_batches(df.select(text_col), "node long, size long, tokens array<long>", run, (text_col,))
-    nodes = stored(rows.where("node is not null").dropDuplicates(["node"]), "prefixes")
+    def run(batches):
+        make_room()
+        seen = Seen()
+        for batch in batches:
+            nodes, sizes, tokens = [], [], [np.zeros(0, np.uint64)]
+            for s in sets_in(batch.column(0), k):
+                if seen.first(node := node_of(s)):
+                    some, level = prefix(s, counts, usual, percent)
+                    nodes.append(node)
+                    sizes.append(len(s) << 4 | level)
+                    tokens.append(some)
+            ends = pa.array(np.cumsum([len(x) for x in tokens]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens).view(np.int64)))], schema.fieldNames())
+        give_back()
+
+    nodes = stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "prefixes")
     tokens = nodes.select("node", F.posexplode("tokens").alias("__place", "token"), "size").selectExpr("token", "node", "shiftleft(cast(__place as long), 32) | size as meta")
-    several = tokens.groupBy("token").agg(F.count("*").cast("int").alias("nodes")).where("nodes > 1")
-    return stored(tokens.join(several, "token"), "shared")
+    # Stored, so that both sides of the join are dealt for it alone and a frequent token's rows can be split.
+    several = stored(tokens.groupBy("token").agg(F.count("*").cast("int").alias("nodes"), F.min("node").alias("pivot")).where("nodes > 1"), "tokens")
+    shared = stored(tokens.join(several, "token"), "shared")
+    forget(nodes, several)
+    return shared
 
 
 def unpacked(shared: DataFrame) -> DataFrame:
@@ -160,17 +219,15 @@ def cold_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def hot_groups(shared: DataFrame) -> DataFrame:
-    """pivot, i, j, node: the tiles in which nodes are compared. A hot shingle's nodes go to the least of them, the pivot; many tokens have the same pivot.
-
-    A pivot's nodes are dealt over as many parts as its size needs; tile (i, j) holds parts i and j, so each two nodes meet.
-    """
+    """group, node, n: the nodes of each hot shingle. Many have the same least node, which names their group."""
     hot = shared.where(f"nodes > {HOT}")
-    pivots = hot.groupBy("token").agg(F.min("node").alias("pivot"))
-    members = hot.join(pivots, "token").groupBy("pivot", "node").agg(F.first("meta").alias("meta")).selectExpr("pivot", "node", "(meta & 4294967295) div 16 as n")
-    sizes = members.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    return dealt.select("pivot", "node", F.explode(tiles).alias("t")).select("pivot", "t.i", "t.j", "node")
+    return hot.groupBy(F.col("pivot").alias("group"), "node").agg(F.first("meta").alias("meta")).selectExpr("`group`", "node", "(meta & 4294967295) div 16 as n")
+
+
+def parts_of(members: DataFrame, pivot: Column) -> DataFrame:
+    """group, pivot, parts: how many parts the size of a group needs."""
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int")
+    return members.groupBy("group").agg(pivot.alias("pivot"), parts.alias("parts"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -210,8 +267,8 @@ def added(cells: np.ndarray, m: int) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the tile's nodes as all of its links do: each node to the first of its component."""
+def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many shingles each two sets share, and links that join the tile's nodes as all of its links do: each node to the first of its component."""
     sizes = np.array([len(s) for s in sets], np.float64)
     shared = overlaps(sets)
     linked = np.empty(shared.shape, bool)
@@ -227,48 +284,138 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[t
                 seen = seen | edge
             left &= ~seen
             out += [(nodes[first], nodes[k]) for k in np.flatnonzero(seen) if k != first]
-    return out
+    return shared, out
+
 
+def compared(tiles: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """group, a, b, n, distance: for each tile (keys), what joins its components (a, b), and each node's (a) size n and distance to the pivot.
 
-def hot_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: what joins the components of each tile."""
+    tiles: group, keys, node, pivot. The distances come only where the pivot is in the tile.
+    """
 
     def run(frame):
-        found = tile_links(frame["node"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]], percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        nodes, sets = frame["node"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        group, pivot = int(frame["group"].iloc[0]), frame["pivot"].iloc[0]
+        shared, links = tile_links(nodes, sets, percent)
+        out = [(group, a, b, None, None) for a, b in links]
+        if pivot in nodes:
+            sizes, to = np.array([len(s) for s in sets]), nodes.index(pivot)
+            distance = 1 - shared[to] / (sizes + sizes[to] - shared[to])
+            out += zip([group] * len(nodes), nodes, [None] * len(nodes), sizes.tolist(), distance.tolist())
+        found = pd.DataFrame(out, columns=["group", "a", "b", "n", "distance"])
+        give_back()
+        return found.astype({"group": "int64", "a": "int64", "b": "Int64", "n": "Int64", "distance": "float64"})
+
+    return tiles.join(sets, "node").groupBy(*keys).applyInPandas(run, "group long, a long, b long, n long, distance double")
+
+
+def star_tiles(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """group, part, node, pivot: each part of a group with its pivot."""
+    own = members.join(heads, "group").select("group", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "pivot").where("node <> pivot")
+    return own.union(heads.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"), "pivot"))
+
+
+def pair_tiles(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """group, i, j, node, pivot (null): tile (i, j) holds parts i and j of a group, so each two nodes meet."""
+    dealt = members.join(heads, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    return dealt.select("group", "node", F.explode(tiles).alias("t")).select("group", "t.i", "t.j", "node", F.lit(None).cast("long").alias("pivot"))
+
+
+def remaining(stars: DataFrame, heads: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """group, node, n, other: of groups of several parts, the nodes outside the pivot's component (other) and those in it that could link with one of these."""
+    near = 1 - percent / 100 + 1e-9
+    own = lambda node: labels.select(F.col("node").alias(node), F.col("label").alias(f"__{node}"))
+    large = heads.where("parts > 1").join(own("pivot"), "pivot", "left").select("group", F.coalesce("__pivot", "pivot").alias("main"))
+    nodes = stars.where("distance is not null").groupBy("group", F.col("a").alias("node")).agg(F.first("n").alias("n"), F.first("distance").alias("distance"))
+    placed = stored(nodes.join(large, "group").join(own("node"), "node", "left").select("group", "node", "n", "distance", (F.coalesce("__node", "node") != F.col("main")).alias("other")), "placed")
+    reach = stored(placed.where("other").groupBy("group").agg((F.min("distance") - near).alias("low"), (F.max("distance") + near).alias("high")), "reach")
+    out = stored(placed.join(reach, "group").where("other or distance between low and high").select("group", "node", "n", "other"), "members")
+    forget(placed, reach)
+    return out
 
-    return tiles.join(sets, "node").groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
+
+def hot_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> list[DataFrame]:
+    """Stored tables of links (a, b) that, with `links`, join what the groups' links join. members: a stored table of group, node, n."""
+    found, pivot = [], F.min("node")
+    size = members.count()
+    for k in range(ROUNDS + 1):
+        if not size:
+            forget(members)
+            break
+        heads = stored(parts_of(members, pivot), "heads")
+        if k == ROUNDS or k and size > before * (1 - GAIN):
+            found.append(stored(compared(pair_tiles(members, heads), sets, ["group", "i", "j"], percent).select("a", "b"), "links"))
+            forget(members, heads)
+            break
+        stars = stored(compared(star_tiles(members, heads), sets, ["group", "part"], percent), "stars")
+        found.append(stored(stars.where("b is not null").select("a", "b"), "links"))
+        forget(members)
+        if heads.where("parts > 1").isEmpty():
+            forget(heads, stars)
+            break
+        members = remaining(stars, heads, components(reduce(DataFrame.union, found, links)), percent)
+        forget(heads, stars)
+        before, size = size, members.count()
+        pivot = F.min_by("node", F.when(F.col("other"), F.xxhash64("node", F.lit(k))))
+    return found
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each of FILTER cells of node ids: fixed size, only ever lets too many through."""
-    bits = nodes.selectExpr(f"cast(pmod(node, {FILTER}) div 64 as int) word", "shiftleft(1L, cast(pmod(node, 64) as int)) bit")
+    """A bit for each cell of node ids, FILTER_LOAD a node within the bounds of FILTER; beyond them it only lets more through."""
+    n = nodes.count() * FILTER_LOAD
+    size = min(max(1 << max(n - 1, 1).bit_length(), FILTER[0]), FILTER[1])
+    bits = nodes.selectExpr(f"cast(pmod(node, {size}) div 64 as int) word", "shiftleft(1L, cast(pmod(node, 64) as int)) bit")
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(FILTER // 64, np.int64)
-    for r in words.collect():
+    out = np.zeros(size // 64, np.int64)
+    for r in words.toLocalIterator():
         out[r["word"]] = r["bits"]
     return out
 
 
-def sets_of(df: DataFrame, text_col: str, k: int, nodes: DataFrame, part=None) -> DataFrame:
-    """node, l, shingles (sorted) of the documents whose nodes pass the filter of `nodes`; `part` takes a part of a set and its l, else they are whole."""
+def passes(bits: np.ndarray, node: int) -> bool:
+    cell = node % (len(bits) * 64)
+    return bool(bits[cell // 64] >> (cell % 64) & 1)
+
+
+def sets_of(texts: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """node, shingles (sorted) of the texts whose nodes pass the filter of `nodes`. Stored."""
     bits = node_filter(nodes)
-    bounded_batches(df.sparkSession)
-    schema = T.StructType.fromDDL("node long, l int, shingles binary")
+    bounded_batches(texts.sparkSession)
+    schema = T.StructType.fromDDL("node long, shingles binary")
 
     def run(batches):
+        make_room()
+        seen = Seen()
         for batch in batches:
-            ids, levels, sets = [], [], []
-            for s in shingle_sets(utf8(batch.column(0)), k):
-                node = node_of(s)
-                if node is not None and bits[(node % FILTER) // 64] >> (node % FILTER % 64) & 1:
-                    some, level = part(s) if part else (s, 0)
-                    ids.append(node)
-                    levels.append(level)
-                    sets.append(np.sort(some).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(sets, pa.binary())], schema.fieldNames())
+            found = [(node, s.tobytes()) for s in sets_in(batch.column(0), k) if (node := node_of(s)) is not None and passes(bits, node) and seen.first(node)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], schema.fieldNames())
+        give_back()
 
-    return stored(df.select(text_col).mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+
+
+def whole_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, l (0), shingles of the sets that pass the filter of `nodes`."""
+    bits = node_filter(nodes)
+
+    def run(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array([passes(bits, n) for n in batch.column(0).to_pylist()], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(np.zeros(len(kept), np.int32)), kept.column(1)], ["node", "l", "shingles"])
+
+    return sets.mapInArrow(run, "node long, l int, shingles binary")
+
+
+def longer_prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """node, l, and a longer prefix of each set, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            some = [longer_prefix(np.frombuffer(x.as_py(), np.uint64), counts, percent) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([level for _, level in some], pa.int32()), pa.array([np.sort(s).tobytes() for s, _ in some], pa.binary())], ["node", "l", "shingles"])
+
+    return sets.mapInArrow(run, "node long, l int, shingles binary")
 
 
 def longer_prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -326,37 +473,49 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a document: id, n_shingles, node, label (of its component; null as the node is), component_id (the smallest id that links lead to, its own included)."""
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    """One row a document: id, hash (of its text), n_shingles, node, label (of its component; null as the node is), component_id (the smallest id that links lead to, its own included)."""
+    rows = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
     texts = rows.select("__text")
-    documents = stored(with_nodes(rows, "__text", k).drop("__text"), "nodes")
-    counts = sketch(texts, "__text", k)
-    shared = shared_prefixes(texts, "__text", k, percent, counts)
-    pairs, tiles = stored(cold_pairs(shared, percent), "pairs"), stored(hot_groups(shared), "tiles")
+    documents, counts = read_once(rows, k)
+    shared = shared_prefixes(texts, k, percent, counts)
+    pairs, members = stored(cold_pairs(shared, percent), "pairs"), stored(hot_groups(shared), "members")
+    forget(shared)
     ends = lambda p: p.select("a").union(p.select("b")).toDF("node")
+    sets = sets_of(texts, k, ends(pairs).union(members.select("node")))
     # Candidates by few shared shingles are tested on longer prefixes, which need as many more, before whole sets are moved.
-    prefixes = sets_of(texts, "__text", k, ends(pairs), lambda s: longer_prefix(s, counts, percent))
-    pairs = stored(tested(pairs, prefixes, lambda x, y, level: shared_by(x, y) >= level), "pairs")
-    sets = sets_of(texts, "__text", k, ends(pairs).union(tiles.select("node")))
-    labels = components(stored(tested(pairs, sets, similar(percent)).union(hot_links(tiles, sets, percent)), "links"))
+    likely = stored(tested(pairs, longer_prefixes(sets, counts, percent), lambda x, y, level: shared_by(x, y) >= level), "pairs")
+    links = stored(tested(likely, whole_sets(sets, ends(likely)), similar(percent)), "links")
+    forget(pairs, likely)
+    hot = hot_links(members, sets, links, percent)
+    labels = components(reduce(DataFrame.union, hot, links))
+    forget(sets, links, *hot)
     least = documents.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = named.join(groups, "label").select("node", "label", "component_id")
     out = documents.join(placed, "node", "left")
-    return out.select(F.col("__id").alias(id_col), "n_shingles", "node", "label", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("__id").alias(id_col), F.col("__hash").alias("hash"), "n_shingles", "node", "label", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """df with one document of each group: that with the component's id (the first by text order if all ids are null; one of rows repeated in id). Documents without words all stay."""
-    groups = similar_groups(df, id_col, text_col, k, percent)
+    """df with one document of each group: that with the smallest id (ties: the least node, then the least hash of its text). Documents without words all stay.
+
+    What goes is decided on ids and hashes. Of rows of a group that are equal in id and text, any one stays.
+    """
+    groups = similar_groups(df, id_col, text_col, k, percent).where("label is not null").select(F.col(id_col).alias("__id"), "hash", "node", "label")
+    rows = groups.groupBy("__id", "hash", "node", "label").agg(F.count("*").alias("n"))
+    rows = stored(rows, "rows")
     # By label: ids may be null or stand in several components.
-    sizes = groups.where("label is not null").groupBy("label").agg(F.count("*").alias("__n"), F.min(id_col).alias("__c"), F.min_by("node", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("node"))).alias("__keep"))
-    several = sizes.where("__n > 1").select("label", "__c", "__keep")
-    # Only nodes of groups of several are joined to the documents: node, and whether it is the one that stays.
-    grouped = groups.where("label is not null").join(several, "label").groupBy(F.col("node").alias("__gnode")).agg(F.min("__c").alias("__c"), F.min("__keep").alias("__keep"))
-    rows = with_nodes(df.withColumnRenamed("n_shingles", "__n_shingles"), text_col, k, "__node").drop("n_shingles").join(grouped, F.col("__node") == F.col("__gnode"), "left")
-    alone = F.col("__gnode").isNull()
-    kept = rows.where(alone | ((F.col("__node") == F.col("__keep")) & F.col(id_col).eqNullSafe(F.col("__c"))))
-    one = kept.withColumn("__row", F.when(alone, F.monotonically_increasing_id())).dropDuplicates(["__node", "__row"])
-    return one.select(*(F.col("__n_shingles").alias("n_shingles") if c == "n_shingles" else F.col(f"`{c}`") for c in df.columns))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "node", "hash")
+    several = stored(rows.groupBy("label").agg(F.sum("n").alias("__n"), F.min(order).alias("keep")).where("__n > 1").select("label", "keep"), "several")
+    mine = F.col("__id").eqNullSafe(F.col("keep.id")) & (F.col("node") == F.col("keep.node")) & (F.col("hash") == F.col("keep.hash"))
+    judged = stored(rows.join(several, "label").select("__id", F.col("hash").alias("__hash"), mine.alias("stays"), "n").where("not stays or n > 1"), "judged")
+    forget(rows, several)
+    same = (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = df.join(judged.select("__id", "__hash"), same, "left_anti")
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return kept
+    # A row that stays and is there several times.
+    again = df.withColumn("__key", F.xxhash64(text_col)).join(repeated.select("__id", "__hash"), same, "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.unionByName(again)

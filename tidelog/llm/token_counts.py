@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import map_batches
+from .common import KEPT, map_batches
 
 #: Characters of a chunk and of the overlap of two chunks; encoded texts at a time.
 CHUNK, OVERLAP, AT_ONCE = 1 << 14, 256, 64
@@ -122,6 +122,9 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+KEPT["token_counts"] = [model.cache_clear]
+
+
 def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """df without the text, plus n_bytes, n_tokens, over_limit, n_chunks, n_widened."""
     rows = df.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
@@ -132,4 +135,4 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int =
         n, chunks, widened = zip(*found)
         return [pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(chunks, pa.int64()), pa.array(widened, pa.int64())]
 
-    return map_batches(rows, "n_tokens long, over_limit boolean, n_chunks long, n_widened long", run).drop(text_col)
+    return map_batches(rows, "n_tokens long, over_limit boolean, n_chunks long, n_widened long", run, owner="token_counts").drop(text_col)
