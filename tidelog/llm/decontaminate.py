@@ -2,38 +2,45 @@
 
 The index is cut by documents: a row is a segment of some documents, with its
 dictionary and, for every term, the sorted places where it stands. Places run
-through the segment, with one left free between documents. Segments are stored as
+through the segment, with one left free between documents. Segments are stored once as
 Parquet in the shared folder, then each is searched by itself, so no list of a
 common word is ever gathered over the corpus: for every window of test words the
 shortest list (the segment's rarest term) is taken, moved by the term's offset in
 the window, and intersected with the other lists, moved likewise, from rare to
 frequent. What remains are exact phrases. Proximity matches ask for all terms in a
-span of the window's length plus `slop`, in any order.
+span of the window's length plus `slop`, in any order. Places of the rarest terms are
+taken SLICE at a time, whatever their number.
 
 Test items go to the executors in blocks of bounded size (BLOCK_BYTES); each block
-is searched against all segments, and what the blocks find is joined.
+is searched against all segments. Only what it finds is written and joined, by segment.
 
 Null or wordless documents give zeros. Null or wordless items match nothing; a null
-item id is an empty string. Rows with equal ids stay apart.
+item id is an empty string. Rows with equal ids, of documents or items, stay apart, but
+an item id that matches twice is named once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, forget, give_back, make_room, stored, utf8
 from .words import WORD_TABLE
 
 WINDOW, SLOP = 10, 5
 #: Bytes of text in a segment (one document at least), and of test items in a block.
-SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
+#: Places of rarest terms that a search takes at a time.
+SLICE = 1 << 16
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,35 +52,37 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         *(T.StructField(x, T.BinaryType()) for x in ("bases", "sizes", "terms", "ends", "postings")),
     ])
 
-    def segment(name: str, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        words = [t.translate(WORD_TABLE).split() for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        bases = np.cumsum(sizes + 1) - sizes - 1
-        known: dict[bytes, int] = {}
-        terms = np.fromiter((known.setdefault(w, len(known)) for some in words for w in some), np.int32, int(sizes.sum()))
-        places = np.arange(len(terms)) + np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(terms, kind="stable")
-        ends = np.cumsum(np.bincount(terms, minlength=len(known)))
-        binary = [bases.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), b" ".join(known), ends.astype("<i4").tobytes(), places[order].astype("<i4").tobytes()]
-        chunk = pa.concat_arrays(ids)
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), chunk), *(pa.array([x], pa.binary()) for x in binary)], schema.fieldNames())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, n = [], [], 0, 0
-        task = TaskContext.get().partitionId()
+        make_room()
+        task, n, size = TaskContext.get().partitionId(), 0, 0
+        ids, terms, known = [], [], {}  # of the segment that grows
+
+        def segment() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in terms], np.int64)
+            bases = np.cumsum(sizes + 1) - sizes - 1
+            every = np.concatenate(terms)
+            places = np.arange(len(every)) + np.repeat(np.arange(len(sizes)), sizes)
+            ends = np.cumsum(np.bincount(every, minlength=len(known)))
+            binary = [bases.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), b" ".join(known), ends.astype("<i4").tobytes(), places[np.argsort(every, kind="stable")].astype("<i4").tobytes()]
+            chunk = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{n}"]), pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), chunk), *(pa.array([x], pa.binary()) for x in binary)], schema.fieldNames())
+
         for batch in batches:
-            own, start = utf8(batch.column(1)), 0
-            for k, text in enumerate(own):
-                texts.append(text)
+            start = 0
+            for k, text in enumerate(utf8(batch.column(1))):
+                terms.append(np.fromiter((known.setdefault(w, len(known)) for w in text.translate(WORD_TABLE).split()), np.int32))
                 size += len(text) + 64
                 if size >= SEGMENT_BYTES:
                     ids.append(batch.column(0).slice(start, k + 1 - start))
-                    yield segment(f"{task}-{n}", ids, texts)
-                    ids, texts, size, n, start = [], [], 0, n + 1, k + 1
-            if start < len(own):
+                    yield segment()
+                    ids, terms, known = [], [], {}
+                    size, n, start = 0, n + 1, k + 1
+            if start < batch.num_rows:
                 ids.append(batch.column(0).slice(start))
-        if texts:
-            yield segment(f"{task}-{n}", ids, texts)
+        if terms:
+            yield segment()
+        ids, terms, known = [], [], {}
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -93,8 +102,12 @@ class Windows:
         self.owners = [sorted(x) for x in owners.values()]
         self.lengths = np.array([len(w) for w in owners], np.int64)
         self.terms = np.full((len(owners), width), -1, np.int64)
+        #: The same without order: distinct terms, and how often each is needed.
+        self.distinct, self.need = np.full((len(owners), width), -1, np.int64), np.zeros((len(owners), width), np.int64)
         for k, w in enumerate(owners):
             self.terms[k, : len(w)] = w
+            for j, (t, n) in enumerate(Counter(w).items()):
+                self.distinct[k, j], self.need[k, j] = t, n
 
 
 class Segment:
@@ -112,121 +125,133 @@ class Segment:
         at = np.searchsorted(self.keys, wanted)
         return (places >= 0) & (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted)
 
-    def near(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        first, last = np.searchsorted(self.keys, terms << 32 | np.maximum(low, 0)), np.searchsorted(self.keys, terms << 32 | high, "right")
-        return last > first
+    def nth(self, terms: np.ndarray, low: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """The place of the n-th occurrence of a term from `low` on; beyond all places if there is none."""
+        at = np.searchsorted(self.keys, terms << 32 | low) + n - 1
+        return np.where(at < self.begins[terms + 1], self.postings[np.minimum(at, len(self.keys) - 1)], np.iinfo(np.int64).max)
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bases, places, "right") - 1
 
-    def search(self, w: Windows, slop: int = SLOP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Exact matches (window, start) and proximity matches (window, document)."""
-        none = np.zeros(0, np.int64)
-        if not len(self.keys) or not len(w.terms):
-            return none, none, none, none
-        number = np.array([self.number.get(t, -1) for t in w.vocabulary] + [-1])
-        terms = number[w.terms]
+    def search(self, w: Windows, slop: int = SLOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans (document, start, end in its words) of exact matches, merged; (document, window) of exact matches and of those near only."""
+        cover = np.zeros(int(self.bases[-1] + self.sizes[-1]) + 2 if len(self.bases) else 2, np.int32)
+        exact, near = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        number = np.array([self.number.get(t, -1) for t in w.vocabulary] + [-1], np.int64)
         used = w.terms >= 0
-        whole = np.flatnonzero(((terms >= 0) | ~used).all(axis=1))
-        terms, used = terms[whole], used[whole]
-        counts = np.where(used, np.diff(self.begins)[terms], np.iinfo(np.int64).max)
+        whole = np.flatnonzero(((number[w.terms] >= 0) | ~used).all(axis=1)) if len(self.keys) else np.zeros(0, np.int64)
+        terms, used = number[w.terms[whole]], used[whole]
+        counts = np.where(used, np.diff(self.begins)[terms] if len(whole) else 0, np.iinfo(np.int64).max)
         order = np.argsort(counts, axis=1, kind="stable")
-        rarest = order[:, 0]
-        n = counts[np.arange(len(whole)), rarest]
-        which = np.repeat(np.arange(len(whole)), n)
-        first = self.begins[terms[np.arange(len(whole)), rarest]]
-        found = self.postings[np.repeat(first, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        start = found - rarest[which]
-        near_which, near_at = which, found
-        for rank in range(1, w.terms.shape[1]):
+        each = np.arange(len(whole))
+        n = counts[each, order[:, 0]]
+        ends, first = np.cumsum(n), self.begins[terms[each, order[:, 0]]]
+        for k in range(0, int(n.sum()), SLICE):
+            flat = np.arange(k, min(k + SLICE, ends[-1]))
+            which = np.searchsorted(ends, flat, "right")
+            at = flat - ends[which] + n[which]
+            place = self.postings[first[which] + at]
+            before = np.where(at > 0, self.postings[first[which] + at - 1], -1)
+            hit, start = self.phrases(which, place - order[which, 0], terms, used, order)
+            length = w.lengths[whole[hit]]
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + length, -1)
+            exact.append(np.unique(np.stack([self.document(start), whole[hit]], axis=1), axis=0))
+            near.append(self.close(w, whole, which, place, before, number, slop))
+        found, close = np.unique(np.concatenate(exact), axis=0), np.unique(np.concatenate(near), axis=0)
+        code = lambda x: x[:, 0] << 32 | x[:, 1]
+        edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)]))
+        start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        doc = self.document(start)
+        return np.stack([doc, start - self.bases[doc], end - self.bases[doc]], axis=1) if len(doc) else np.zeros((0, 3), np.int64), found, close[~np.isin(code(close), code(found))]
+
+    def phrases(self, which: np.ndarray, start: np.ndarray, terms: np.ndarray, used: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows and where they would begin, those that stand there: lists intersected from rare to frequent."""
+        for rank in range(1, terms.shape[1]):
             offset = order[which, rank]
             ok = ~used[which, offset] | self.has(terms[which, offset], start + offset)
             which, start = which[ok], start[ok]
-            offset = order[near_which, rank]
-            doc = self.document(near_at)
-            reach = w.lengths[whole[near_which]] - 1 + slop
-            low, high = np.maximum(near_at - reach, self.bases[doc]), np.minimum(near_at + reach, self.bases[doc] + self.sizes[doc] - 1)
-            ok = ~used[near_which, offset] | self.near(terms[near_which, offset], low, high)
-            near_which, near_at = near_which[ok], near_at[ok]
-        return whole[which], start, *self.within(w, whole[near_which], near_at, number, slop)
-
-    def within(self, w: Windows, which: np.ndarray, at: np.ndarray, number: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of candidates, those with a span of the window's length plus slop around `at` that holds all its terms."""
-        kept = []
-        for k, (window, place) in enumerate(zip(which.tolist(), at.tolist())):
-            doc = int(self.document(np.array([place]))[0])
-            reach, low, high = int(w.lengths[window]) + slop, int(self.bases[doc]), int(self.bases[doc] + self.sizes[doc])
-            need: dict[int, int] = {}
-            for t in number[w.terms[window][w.terms[window] >= 0]].tolist():
-                need[t] = need.get(t, 0) + 1
-            lists = {t: self.postings[self.begins[t] : self.begins[t + 1]] for t in need}
-            for s in range(max(low, place - reach + 1), min(place, high) + 1):
-                if all(np.searchsorted(lists[t], min(s + reach, high)) - np.searchsorted(lists[t], s) >= c for t, c in need.items()):
-                    kept.append(k)
-                    break
-        return which[kept], self.document(at[kept])
-
-
-STATE = "hits array<struct<document:int,start:int,length:int>>, found array<struct<document:int,item:string>>, close array<struct<document:int,near:int>>"
+        ok = start >= 0
+        return which[ok], start[ok]
+
+    def close(self, w: Windows, whole: np.ndarray, which: np.ndarray, place: np.ndarray, before: np.ndarray, number: np.ndarray, slop: int) -> np.ndarray:
+        """(document, window) where a span whose first rarest term is at `place` (the one before it at `before`) has all of the window's terms as often as it."""
+        distinct, need = number[w.distinct[whole]], w.need[whole]
+        doc = self.document(place)
+        low, high = self.bases[doc], self.bases[doc] + self.sizes[doc]
+        reach = w.lengths[whole[which]] + slop
+        columns = np.flatnonzero(need.any(axis=0))
+        for j in columns:
+            t, k = distinct[which, j], need[which, j]
+            ok = (k == 0) | (self.nth(t, np.maximum(place - reach + 1, low), 1) < np.minimum(place + reach, high))
+            which, place, before, low, high, reach = (x[ok] for x in (which, place, before, low, high, reach))
+        first = np.maximum(np.maximum(low, place - reach + 1), before + 1)
+        m = place - first + 1
+        own = np.repeat(np.arange(len(which)), m)
+        start = np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m) + first[own]
+        for j in columns:
+            t, k = distinct[which[own], j], need[which[own], j]
+            ok = (k == 0) | (self.nth(t, start, k) < np.minimum(start + reach[own], high[own]))
+            own, start = own[ok], start[ok]
+        return np.unique(np.stack([self.document(place[own]), whole[which[own]]], axis=1), axis=0)
+
+
+FOUND = "spans array<struct<document:int,start:int,end:int>>, items array<struct<document:int,item:string>>, near array<struct<document:int,n:int>>"
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
     """The test items in blocks of at most BLOCK_BYTES (one item at least), one block on the driver at a time."""
     some, size = [], 0
     for r in items.selectExpr(f"coalesce(cast(`{id_col}` as string), '') i", f"cast(`{text_col}` as binary) t").where("t is not null").toLocalIterator():
-        some.append((r["i"], bytes(r["t"])))
-        size += len(r["t"]) + 64
-        if size >= BLOCK_BYTES:
+        if some and size + len(r["t"]) > BLOCK_BYTES:
             yield some
             some, size = [], 0
+        some.append((r["i"], bytes(r["t"])))
+        size += len(r["t"]) + 64
     if some:
         yield some
 
 
-def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """The index and what every block of items finds in each segment (STATE)."""
+def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """segment and what the items find in it (FOUND), for segments where they find something."""
     bounded_batches(index.sparkSession)
-    schema = T.StructType([*index.schema.fields, *T.StructType.fromDDL(STATE).fields])
-    state, fresh = index, True
-    for block in blocks(items, item_id, item_text):
-        state = state if fresh else stored(state, "decontaminate")
-        state, fresh = state.mapInArrow(searcher(Windows(block, width), slop, schema), schema), False
-    if fresh:
-        return index.selectExpr("*", *(f"cast(array() as {f.dataType.simpleString()}) {f.name}" for f in T.StructType.fromDDL(STATE).fields))
-    return state
-
-
-def searcher(windows: Windows, slop: int, schema: T.StructType):
-    names = schema.fieldNames()
-    hit = pa.struct([("document", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
-    item = pa.struct([("document", pa.int32()), ("item", pa.string())])
-    close = pa.struct([("document", pa.int32()), ("near", pa.int32())])
+    windows, schema = Windows(items, width), T.StructType.fromDDL(f"segment string, {FOUND}")
+    names = ("segment", "bases", "sizes", "terms", "ends", "postings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(j)[k].as_py() for j, n in enumerate(batch.schema.names) if n in ("bases", "sizes", "terms", "ends", "postings", "hits", "found", "close")}
-                s = Segment(row)
-                which, start, near_which, near_doc = s.search(windows, slop)
-                docs = s.document(start)
-                hits = row.get("hits", []) + [{"document": d, "start": p - int(s.bases[d]), "length": n} for d, p, n in zip(docs.tolist(), start.tolist(), windows.lengths[which].tolist())]
-                pairs = {(d, windows.items[i]) for d, x in zip(docs.tolist(), which.tolist()) for i in windows.owners[x]}
-                near = {(d, x) for d, x in zip(near_doc.tolist(), near_which.tolist())} - {(d, x) for d, x in zip(docs.tolist(), which.tolist())}
-                found = row.get("found", []) + [{"document": d, "item": i} for d, i in sorted(pairs)]
-                tally: dict[int, int] = {}
-                for d, _ in near:
-                    tally[d] = tally.get(d, 0) + 1
-                closes = row.get("close", []) + [{"document": d, "near": n} for d, n in sorted(tally.items())]
-                own = [batch.column(j).slice(k, 1) for j in range(7)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([hits], pa.list_(hit)), pa.array([found], pa.list_(item)), pa.array([closes], pa.list_(close))], names)
-
-    return run
+                row = {n: c[k].as_py() for n, c in zip(names, batch.columns)}
+                spans, exact, near = Segment(row).search(windows, slop)
+                if len(spans) or len(near):
+                    pairs = sorted({(d, windows.items[i]) for d, x in exact.tolist() for i in windows.owners[x]})
+                    docs, n = np.unique(near[:, 0], return_counts=True)
+                    found = ([dict(zip(("document", "start", "end"), x)) for x in spans.tolist()], [{"document": d, "item": i} for d, i in pairs], [{"document": d, "n": c} for d, c in zip(docs.tolist(), n.tolist())])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]]), *(pa.array([x], kind) for x, kind in zip(found, KINDS))], schema.fieldNames())
+        give_back()
+
+    return index.select(*names).mapInArrow(run, schema)
+
+
+KINDS = [
+    pa.list_(pa.struct([("document", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
+    pa.list_(pa.struct([("document", pa.int32()), ("item", pa.string())])),
+    pa.list_(pa.struct([("document", pa.int32()), ("n", pa.int32())])),
+]
 
 
 def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """One row a document: id, n_words, n_hit, spans (start, end in words, end exclusive), items (sorted), n_near (windows near, not exact)."""
     index = stored(build_index(df, id_col, text_col), "index")
-    found = search(index, items, item_id, item_text, width, slop).select("ids", "sizes", "hits", "found", "close")
+    found = [stored(search(index, block, width, slop), "found") for block in blocks(items, item_id, item_text)]
+    segments = stored(index.select("segment", "ids", "sizes"), "segments")
+    forget(index)
+    if found:
+        by_segment = reduce(DataFrame.union, found).groupBy("segment").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("spans", "items", "near")))
+        segments = segments.join(by_segment, "segment", "left").drop("segment")
+    else:
+        segments = segments.selectExpr("ids", "sizes", *(f"cast(null as {f.dataType.simpleString()}) {f.name}" for f in T.StructType.fromDDL(FOUND).fields))
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         *T.StructType.fromDDL("spans array<struct<start:int,end:int>>, items array<string>, n_near long").fields,
@@ -241,23 +266,24 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 spans: list[list[dict]] = [[] for _ in sizes]
                 names: list[set] = [set() for _ in sizes]
                 near = [0] * len(sizes)
-                for h in sorted(batch.column(2)[k].as_py(), key=lambda h: (h["document"], h["start"])):
-                    own, end = spans[h["document"]], h["start"] + h["length"]
+                # Blocks' spans may touch and overlap.
+                for h in sorted(batch.column(2)[k].as_py() or [], key=lambda h: (h["document"], h["start"])):
+                    own = spans[h["document"]]
                     if own and h["start"] <= own[-1]["end"]:
-                        own[-1]["end"] = max(own[-1]["end"], end)
+                        own[-1]["end"] = max(own[-1]["end"], h["end"])
                     else:
-                        own.append({"start": h["start"], "end": end})
-                for f in batch.column(3)[k].as_py():
+                        own.append({"start": h["start"], "end": h["end"]})
+                for f in batch.column(3)[k].as_py() or []:
                     names[f["document"]].add(f["item"])
-                for c in batch.column(4)[k].as_py():
-                    near[c["document"]] += c["near"]
+                for c in batch.column(4)[k].as_py() or []:
+                    near[c["document"]] += c["n"]
                 hit = [sum(s["end"] - s["start"] for s in x) for x in spans]
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(span)),
                     pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(near, pa.int64()),
                 ], schema.fieldNames())
 
-    return found.mapInArrow(run, schema)
+    return segments.mapInArrow(run, schema)
 
 
 def digest(items: list[str]) -> str:
