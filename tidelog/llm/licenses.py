@@ -1,24 +1,30 @@
 """Licence scan by diagonal voting.
 
 Every rolling k-gram of a document's words is hashed and joined in Spark to the
-places where the templates hold it. A hit votes for the diagonal (place in the
-document minus place in the template). Votes are summed by document, template and
+places where the templates hold it. A gram whose hash a template has carries its words, which
+must be the template's, so no vote comes from a hash alone. A hit votes for the diagonal (place in the
+document minus place in the template). Votes are gathered by document, template and
 diagonal; neighbouring diagonals, as inserted or missing words leave them, are
-merged; a merged span counts if it covers enough of the template.
+merged; a merged span counts if the template's grams that it holds, each counted once,
+cover enough of the template.
 
-Templates are short phrases, which must be whole (k = 2), and longer notices
-(k = 4), of which NOTICE_COVER is enough. Null text is empty. Documents without a
-word give zeros and nulls; rows with equal ids stay apart.
+Templates are short phrases, which must be whole (k = 2), and longer ones (k = 4): notices
+and whole licence texts, of which NOTICE_COVER is enough. Null text is empty. Documents without a
+word give zeros and nulls; rows with equal ids stay apart. Spans may overlap, and of
+equal covers none is preferred: all are given.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, utf8
+from .license_texts import WHOLE
 from .words import WORD_TABLE, hash_words, rolling
 
 PHRASE_K, NOTICE_K = 2, 4
@@ -49,71 +55,94 @@ NOTICES = {
 }
 
 
-def templates() -> list[tuple[str, str, bool]]:
+@functools.lru_cache(1)
+def templates() -> list[tuple[list[str], str, bool]]:
     """(words, label, whole) of every template; its place in the list is its number."""
-    return [(w, label, True) for w, label in PHRASES.items()] + [(w, label, False) for label, w in NOTICES.items()]
+    return [(w.split(), label, True) for w, label in PHRASES.items()] + [(w.split(), label, False) for label, w in [*NOTICES.items(), *WHOLE.items()]]
 
 
-def gram_table(spark: SparkSession) -> DataFrame:
-    """gram, template, tpos: the templates' k-grams. A fixed, small table."""
+def template_grams() -> list[tuple[int, int, int, str]]:
+    """gram, template, tpos, words: the templates' k-grams."""
     rows = []
-    for t, (text, _, whole) in enumerate(templates()):
-        grams = rolling(hash_words([text.encode()], WORD_TABLE).hashes, PHRASE_K if whole else NOTICE_K)
-        rows += [(g, t, k) for k, g in enumerate(grams.view(np.int64).tolist())]
-    return spark.createDataFrame(rows, "gram long, template int, tpos int")
+    for t, (words, _, whole) in enumerate(templates()):
+        k = PHRASE_K if whole else NOTICE_K
+        grams = rolling(hash_words([" ".join(words).encode()], WORD_TABLE).hashes, k).view(np.int64)
+        rows += [(g, t, p, " ".join(words[p : p + k])) for p, g in enumerate(grams.tolist())]
+    return rows
+
+
+def gram_table(spark: SparkSession) -> DataFrame:
+    """gram, template, tpos, twords. A fixed, small table."""
+    return spark.createDataFrame(template_grams(), "gram long, template int, tpos int, twords string")
+
+
+def strings(at: np.ndarray, values: list[bytes], n: int) -> pa.Array:
+    """n strings, null but for `values` at the places `at`."""
+    mask, sizes = np.zeros(n, bool), np.zeros(n + 1, np.int32)
+    mask[at], sizes[at + 1] = True, [len(v) for v in values]
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.cumsum(sizes, dtype=np.int32).tobytes()), pa.py_buffer(b"".join(values)), pa.py_buffer(np.packbits(mask, bitorder="little").tobytes()))
 
 
 def rolled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_words and the rolling k-gram hashes of every document, of both lengths."""
+    """id, n_words and the rolling k-grams (hash, and words if a template has the hash) of every document, of both lengths."""
+    known = np.unique(np.array([g for g, *_ in template_grams()], np.int64))
 
     def run(batch):
-        words = hash_words(utf8(batch.column(1)), WORD_TABLE)
+        texts = utf8(batch.column(1))
+        words = hash_words(texts, WORD_TABLE)
         sizes = np.diff(words.first)
-        out = [pa.array(sizes, pa.int64())]
+        out, split = [pa.array(sizes, pa.int64())], {}
         for k in (PHRASE_K, NOTICE_K):
             grams = rolling(words.hashes, k).view(np.int64)
             n = np.maximum(sizes - k + 1, 0)
-            keep = np.arange(n.sum()) + np.repeat(words.first[:-1] - (np.cumsum(n) - n), n)
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(grams[keep] if len(keep) else np.zeros(0, np.int64))))
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(owner)) - (ends - n)[owner]
+            own = grams[words.first[owner] + place] if len(owner) else np.zeros(0, np.int64)
+            at = np.flatnonzero(np.isin(own, known))
+            said = []
+            for d, p in zip(owner[at].tolist(), place[at].tolist()):
+                if d not in split:
+                    split[d] = texts[d].translate(WORD_TABLE).split()
+                said.append(b" ".join(split[d][p : p + k]))
+            items = pa.StructArray.from_arrays([pa.array(own), strings(at, said, len(own))], ["gram", "words"])
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), items))
         return out
 
-    return map_batches(df.select(id_col, text_col), "n_words long, pairs array<long>, fours array<long>", run, (text_col,))
+    kind = "array<struct<gram:long,words:string>>"
+    return map_batches(df.select(id_col, text_col), f"n_words long, pairs {kind}, fours {kind}", run, (text_col,))
 
 
 def votes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__row, id, n_words, and the document's diagonals: array of (template, diagonal, votes, low, high); low and high are places."""
+    """__row, id, n_words, and the document's diagonals: array of (template, diagonal, low, high, held); low and high are places, held the template's places with a vote."""
     rows = rolled(df, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
     # Fours follow the pairs in one list, so that each document is exploded once.
-    grams = rows.select("__row", id_col, "n_words", F.size("pairs").alias("__pairs"), F.posexplode_outer(F.concat("pairs", "fours")).alias("__at", "gram"))
-    hits = grams.join(F.broadcast(gram_table(df.sparkSession)), "gram", "left").where("template is not null or coalesce(__at, 0) = 0")
+    grams = rows.select("__row", id_col, "n_words", F.size("pairs").alias("__pairs"), F.posexplode_outer(F.concat("pairs", "fours")).alias("__at", "__gram")).select("*", "__gram.*").drop("__gram")
+    hits = grams.join(F.broadcast(gram_table(df.sparkSession)), "gram", "left").withColumn("template", F.when(F.col("words") == F.col("twords"), F.col("template"))).where("template is not null or coalesce(__at, 0) = 0")
     pos = F.when(F.col("__at") < F.col("__pairs"), F.col("__at")).otherwise(F.col("__at") - F.col("__pairs"))
     diagonals = (
-        hits.select("__row", id_col, "n_words", "template", (pos - F.col("tpos")).alias("diagonal"), pos.alias("pos"))
+        hits.select("__row", id_col, "n_words", "template", (pos - F.col("tpos")).alias("diagonal"), pos.alias("pos"), "tpos")
         .groupBy("__row", id_col, "n_words", "template", "diagonal")
-        .agg(F.count("template").cast("int").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("tpos").alias("held"))
     )
-    diagonal = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "votes", "low", "high"))
+    diagonal = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "low", "high", "held"))
     return diagonals.groupBy("__row", id_col, "n_words").agg(F.array_sort(F.collect_list(diagonal)).alias("diagonals"))
 
 
 def spans_of(diagonals: list[dict]) -> list[tuple[int, int, int, float]]:
     """(template, start, end, cover) of the spans that hold, in words, end exclusive. Input is sorted by template and diagonal."""
-    sizes = [(len(w.split()), PHRASE_K if whole else NOTICE_K, whole) for w, _, whole in templates()]
-    out, groups = [], []
+    known, out, groups = templates(), [], []
     for d in diagonals:
-        n, k, whole = sizes[d["template"]]
-        last = groups[-1] if groups else None
-        held = (d["low"] - d["diagonal"], d["high"] - d["diagonal"])
+        last, whole = groups[-1] if groups else None, known[d["template"]][2]
         # Near diagonals of one template are near in place too. A missing word makes the later part's diagonal the smaller one, so it comes first.
         if last and not whole and last["template"] == d["template"] and d["diagonal"] - last["diagonal"] <= DRIFT:
-            last |= {"diagonal": d["diagonal"], "votes": last["votes"] + d["votes"], "low": min(last["low"], d["low"]), "high": max(last["high"], d["high"]), "held": [*last["held"], held]}
+            last |= {"diagonal": d["diagonal"], "low": min(last["low"], d["low"]), "high": max(last["high"], d["high"]), "held": last["held"] | set(d["held"])}
         else:
-            groups.append(d | {"held": [held]})
+            groups.append(d | {"held": set(d["held"])})
     for g in groups:
-        n, k, whole = sizes[g["template"]]
-        grams = n - k + 1
-        # Votes of one span can't be worth more than the template's places between which they are, each once.
-        cover = min(g["votes"], len({p for a, b in g["held"] for p in range(a, b + 1)})) / grams
+        words, _, whole = known[g["template"]]
+        k = PHRASE_K if whole else NOTICE_K
+        cover = len(g["held"]) / (len(words) - k + 1)
         if cover >= (1 if whole else NOTICE_COVER):
             out.append((g["template"], g["low"], g["high"] + k, cover))
     return out
