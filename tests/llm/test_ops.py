@@ -2,7 +2,10 @@ import hashlib
 import math
 import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,8 +166,6 @@ def odd_texts(n, seed, longest):
 
 def test_bpe_is_the_librarys():
     tokenizers = pytest.importorskip("tokenizers")
-    import numpy as np
-
     path = queries.tokenizer("byte_bpe_50k.json")
     library, own = tokenizers.Tokenizer.from_file(path), bpe.encoder(path)
     texts = odd_texts(1500, 5, 40) + ["a" * 20_000, "ab" * 9000, "x " * 50_000, " " * 70_000, "tion" * 5000]
@@ -185,6 +186,18 @@ def test_token_counts_are_the_librarys():
         assert [n for n, _, _ in token_counts.count_texts(model, texts, chunk, overlap)] == want
 
 
+def test_token_counts_without_stable_boundaries():
+    model = token_counts.model(queries.tokenizer("piece_bpe_32k.model"))
+    rnd = random.Random(2)
+    texts = ["a" * 60_000, "ab" * 30_000, " " * 50_000, "=" * 40_000, "".join(rnd.choices("abc", k=50_000)), "x" * 20_000 + " and then. " * 900 + "0" * 30_000]
+    assert [n for n, _, _ in token_counts.count_texts(model, texts)] == [len(x) for x in model.encode(texts)]
+    began = time.time()
+    token_counts.count_texts(model, ["x" * 200_000])
+    one = time.time() - began
+    ((n, _, _),) = token_counts.count_texts(model, ["x" * 2_000_000])
+    assert n == 1_000_000 and time.time() - began < 30 * max(one, 0.1)
+
+
 def test_token_columns(spark):
     rows = frame(spark)
     assert by_id(bpe.token_digest(rows, queries.tokenizer("byte_bpe_50k.json"), ["doc_id"]), "n_tokens", "round_trip")[1] == (0, True)
@@ -258,6 +271,51 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 1), 3: (0, 0)}
 
 
+def segment_of(texts):
+    """The one segment of some texts, as the index has it."""
+    known, words = {}, [B.words(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    terms = np.array([known.setdefault(w, len(known)) for some in words for w in some], np.int64)
+    places = np.arange(len(terms)) + np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(terms, kind="stable")
+    row = {"bases": np.cumsum(sizes + 1) - sizes - 1, "sizes": sizes, "ends": np.cumsum(np.bincount(terms, minlength=len(known))), "postings": places[order]}
+    return decontaminate.Segment({k: v.astype("<i4").tobytes() for k, v in row.items()} | {"terms": " ".join(known).encode()})
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_search_matches_brute_force(monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "SLICE", at_once)
+    rnd = random.Random(at_once)
+    for _ in range(40):
+        pool = "abcdefgh"[: rnd.choice([2, 4, 8])]
+        some = lambda sizes, letters: " ".join(rnd.choice(letters) for _ in range(rnd.choice(sizes)))
+        texts, items = [some([0, 3, 20, 60], pool) for _ in range(5)], [some([0, 2, 5, 9], pool + rnd.choice(["", "z"])) for _ in range(4)]
+        windows = decontaminate.Windows([(str(k), t.encode()) for k, t in enumerate(items)], 4)
+        spans, exact, near = segment_of(texts).search(windows, 2)
+        phrases = [[windows.vocabulary[t].decode() for t in row if t >= 0] for row in windows.terms.tolist()]
+        want, close, hit = set(), set(), set()
+        for d, text in enumerate(texts):
+            words = text.split()
+            for k, phrase in enumerate(phrases):
+                n = len(phrase)
+                starts = [p for p in range(len(words) - n + 1) if words[p : p + n] == phrase]
+                want |= {(d, k)} if starts else set()
+                hit |= {(d, p + j) for p in starts for j in range(n)}
+                close |= {(d, k)} if any(not Counter(phrase) - Counter(words[p : p + n + 2]) for p in range(len(words))) else set()
+        assert {tuple(x) for x in exact.tolist()} == want and {tuple(x) for x in near.tolist()} == close - want
+        assert {(d, p) for d, a, b in spans.tolist() for p in range(a, b)} == hit
+
+
+def test_search_of_four_words_ends():
+    rnd = random.Random(1)
+    some = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    text, began = some(400_000), time.time()
+    items = [(str(k), some(10).encode()) for k in range(60)]
+    _, exact, near = segment_of([text]).search(decontaminate.Windows(items))
+    assert {w for _, w in exact.tolist()} == {k for k, (_, t) in enumerate(items) if f" {t.decode()} " in f" {text} "}
+    assert len(exact) + len(near) == 60 and time.time() - began < 40
+
+
 # --- 6 ---
 
 
@@ -325,6 +383,49 @@ def test_notices_with_inserted_missing_and_swapped_words(spark):
     assert found[len(texts) - 1][0] == []
 
 
+def licence_spans(text):
+    """{(label, start, end): cover}, counted place by place."""
+    words, out = B.words(text), {}
+    for template, label, whole in licenses.templates():
+        k = licenses.PHRASE_K if whole else licenses.NOTICE_K
+        n = len(template) - k + 1
+        hits = sorted((p - q, p, q) for q in range(n) for p in range(len(words) - k + 1) if words[p : p + k] == template[q : q + k])
+        runs = []
+        for d, p, q in hits:
+            if runs and (d == runs[-1][-1][0] or not whole and d - runs[-1][-1][0] <= licenses.DRIFT):
+                runs[-1].append((d, p, q))
+            else:
+                runs.append([(d, p, q)])
+        for run in runs:
+            cover = len({q for _, _, q in run}) / n
+            if cover >= (1 if whole else licenses.NOTICE_COVER):
+                places = [p for _, p, _ in run]
+                out[(label, min(places), max(places) + k)] = cover
+    return out
+
+
+def test_spans_of_whole_texts_match_brute_force(spark):
+    rnd = random.Random(8)
+    texts = [None, "", LONG]
+    for label in [*licenses.WHOLE, *licenses.NOTICES] * 2:
+        words = (licenses.WHOLE.get(label) or licenses.NOTICES[label]).split()
+        for _ in range(rnd.randint(0, 6)):
+            k = rnd.randrange(len(words))
+            words[k : k + 1] = rnd.choice([[], ["new"], [words[k], "added"], [words[k]] * 2])
+        texts.append("Foreword, " + " ".join(words[: rnd.randint(len(words) // 2, len(words))]) + ". The MIT License; " + "the software " * 3)
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
+    for k, text in enumerate(texts):
+        assert {(s["label"], s["start"], s["end"]): pytest.approx(s["cover"]) for s in got[k][0]} == licence_spans(text)
+    assert sum("MIT" in {s["label"] for s in x} for (x,) in got.values()) >= 1
+
+
+def test_votes_need_the_words_not_only_their_hash(spark, monkeypatch):
+    real = licenses.template_grams()
+    monkeypatch.setattr(licenses, "template_grams", lambda: [(g, t, p, w if t else "other words") for g, t, p, w in real])
+    found = by_id(licenses.scan(spark.createDataFrame([(1, "GNU General Public License, Apache License")], "doc_id long, text string")), "spans")
+    assert [s["label"] for s in found[1][0]] == ["apache"]
+
+
 # --- 8 ---
 
 

@@ -161,14 +161,14 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
             all_of = sum(np.bincount(b, minlength=BUCKETS) for b in subwords(x.as_py()))
             there = np.flatnonzero(all_of)
             buckets.append(there.astype("<u2").tobytes())
-            counts.append(all_of[there].astype("<u8").tobytes())
+            counts.append(all_of[there].astype("<u4").tobytes())
         return [pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())]
 
     counted = map_batches(chosen, "buckets binary, counts binary", count, ("text",)).select("lang", "place", "is_first", "buckets", "counts")
     sample, known = [], {x: k for k, x in enumerate(languages)}
     taken = counted.orderBy(F.desc("is_first"), "place", "lang", "buckets").limit(max(SAMPLE, len(found))).collect()
     for r in sorted(taken, key=lambda r: (r["place"], r["lang"].encode(), bytes(r["buckets"]))):
-        c = np.frombuffer(r["counts"], "<u8").astype(np.float64)
+        c = np.frombuffer(r["counts"], "<u4").astype(np.float64)
         sample.append((known[r["lang"]], np.frombuffer(r["buckets"], "<u2").astype(np.int64), c / c.sum()))
     return fit(sample, languages, seed)
 
