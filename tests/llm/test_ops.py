@@ -440,6 +440,55 @@ def test_urls_match_brute_force(spark, sf):
             assert got[i]["verdict"] == (verdict or got[i]["verdict"])
 
 
+def ranks(n, weight, seed, damping):
+    """Dense personalised PageRank by solving its equation. weight[i, j]: what i sends to j."""
+    out = weight.sum(axis=1, keepdims=True)
+    share = np.divide(weight, out, out=np.zeros_like(weight), where=out > 0)
+    return np.linalg.solve(np.eye(n) - damping * share.T, (1 - damping) * seed)
+
+
+@pytest.mark.parametrize("bond, hub", [(0, 100_000), (1, 3), (4, 1)])
+def test_ranks_match_dense_ones(spark, monkeypatch, bond, hub):
+    monkeypatch.setattr(urls, "HUB", hub)
+    rnd = random.Random(11)
+    hosts = ["a.com", "www.a.com", "b.net", "x.b.net", "c.org", "x.y.c.org", "d.io", "spam.io", "e.io", "lonely.io"]
+    forms = ['<a href="http://{}/x">', "<link rel=canonical href='//{}/'>", "<a href=https:\\/\\/{}\\/y>", "see https://{}?q now", 'src="//{}#t"', "<a href='HTTP://{}:'>", 'href="https:&#x2F;&#x2F;{}/">']
+    rows, links = [], Counter()
+    for k in range(120):
+        src, path = rnd.choice(hosts[:-1]), rnd.choice(["/en/1", "/de/1", "/es/2", "/it/3"])
+        to = [rnd.choice(hosts[:9]) for _ in range(rnd.randint(0, 4))]
+        links.update((src, d) for d in to if d != src)
+        rows.append((k, f"http://{src.upper() if k % 5 == 0 else src}{path}", "<p>" + " ".join(rnd.choice(forms[:5] + forms[6:]).format(d) for d in to) + '<a href="/own">'))
+    rows += [(200, "http://lonely.io/it/", None), (201, None, "http://a.com")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), bond=bond, tolerance=1e-7).collect()}
+    pages = {i: B.url(u) for i, u, _ in rows}
+    above = lambda h: [".".join(h.split(".")[j:]) for j in range(h.count("."))]
+    names = sorted({h for h, *_ in pages.values() if h} | {d for _, d in links} | {x for h, *_ in pages.values() for x in above(h)})
+    at, n = {h: k for k, h in enumerate(names)}, len(names)
+    weight = np.zeros((n, n))
+    for (s, d), c in links.items():
+        weight[at[s], at[d]] += c
+    for low, high in {(x, y) for h, *_ in pages.values() for x, y in zip(above(h), above(h)[1:])}:
+        weight[at[low], at[high]] += bond
+        weight[at[high], at[low]] += bond
+    seeds = {v: np.zeros(n) for v in ("allow", "block")}
+    share = np.zeros(n)
+    for h, _, _, v in pages.values():
+        share[at[h] if h else 0] += bool(h)
+        if v:
+            seeds[v][at[h]] += 1
+    share /= share.sum()
+    trust = ranks(n, weight, seeds["allow"] / max(1, seeds["allow"].sum()), urls.DAMPING)
+    distrust = ranks(n, weight.T, seeds["block"] / max(1, seeds["block"].sum()), urls.DAMPING)
+    seen = set()
+    for i, (h, _, _, v) in pages.items():
+        t, d, s = (trust[at[h]], distrust[at[h]], share[at[h]]) if h else (0, 0, 0)
+        assert got[i]["trust"] == pytest.approx(t, abs=1e-5) and got[i]["distrust"] == pytest.approx(d, abs=1e-5)
+        assert got[i]["verdict"] == (v or ("block" if d > urls.FACTOR * max(t, s) else "allow"))
+        seen.add((bool(v), got[i]["verdict"]))
+    assert len(seen) == 4
+
+
 # --- 10 ---
 
 
