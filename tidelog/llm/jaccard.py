@@ -18,7 +18,7 @@ group takes another pivot. When a round hardly removes anything, all pairs of wh
 remains are compared. So no link is lost, and a large group costs in proportion to its
 size as long as pivots tell its families apart.
 
-The texts are read three times (sketch, prefixes, sets of candidates), never moved.
+The texts are read four times (sketch, prefixes, longer prefixes of candidates, sets of likely ones), never moved.
 Nodes are 64-bit digests of the sorted set, shingles 64-bit hashes: sets are told apart
 and compared by them, so of 2^32 different sets about two share a node. Null or wordless
 texts have an empty set and are linked with nothing. Rows with equal or null ids are
@@ -29,7 +29,7 @@ frequency go by the shingle's hash.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,7 +50,7 @@ FILTER, FILTER_LOAD = (1 << 16, 1 << 26), 8
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
 #: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a part of a group.
-HOT, TILE, TILE_BYTES = 48, 192, 8 << 20
+HOT, TILE, TILE_BYTES = 48, 512, 8 << 20
 #: Most rounds of pivots, and the part of the nodes a round must remove if another one is to follow.
 ROUNDS, GAIN = 8, 0.25
 #: Part of the set by which the second, longer prefix of a candidate pair is lengthened.
@@ -345,10 +345,10 @@ def hot_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: in
             break
         heads = stored(parts_of(members, pivot), "heads")
         if k == ROUNDS or k and size > before * (1 - GAIN):
-            found.append(stored(compared(pair_tiles(members, heads), sets, ["group", "i", "j"], percent).select("a", "b"), "links"))
+            found.append(stored(compared(pair_tiles(members, heads), only(sets, members), ["group", "i", "j"], percent).select("a", "b"), "links"))
             forget(members, heads)
             break
-        stars = stored(compared(star_tiles(members, heads), sets, ["group", "part"], percent), "stars")
+        stars = stored(compared(star_tiles(members, heads), only(sets, members), ["group", "part"], percent), "stars")
         found.append(stored(stars.where("b is not null").select("a", "b"), "links"))
         forget(members)
         if heads.where("parts > 1").isEmpty():
@@ -378,44 +378,39 @@ def passes(bits: np.ndarray, node: int) -> bool:
     return bool(bits[cell // 64] >> (cell % 64) & 1)
 
 
-def sets_of(texts: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted) of the texts whose nodes pass the filter of `nodes`. Stored."""
+def sets_of(texts: DataFrame, k: int, nodes: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> DataFrame:
+    """node, l, shingles (sorted) of the texts whose nodes pass the filter of `nodes`; `part` takes a part of a set and its l, else sets are whole (l is 0). Stored."""
     bits = node_filter(nodes)
     bounded_batches(texts.sparkSession)
-    schema = T.StructType.fromDDL("node long, shingles binary")
+    schema = T.StructType.fromDDL("node long, l int, shingles binary")
 
     def run(batches):
         make_room()
         seen = Seen()
         for batch in batches:
-            found = [(node, s.tobytes()) for s in sets_in(batch.column(0), k) if (node := node_of(s)) is not None and passes(bits, node) and seen.first(node)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], schema.fieldNames())
+            ids, levels, sets = [], [], []
+            for s in sets_in(batch.column(0), k):
+                node = node_of(s)
+                if node is not None and passes(bits, node) and seen.first(node):
+                    some, level = part(s) if part else (s, 0)
+                    ids.append(node)
+                    levels.append(level)
+                    sets.append(np.sort(some).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(sets, pa.binary())], schema.fieldNames())
         give_back()
 
     return stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
 
 
-def whole_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, l (0), shingles of the sets that pass the filter of `nodes`."""
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets that pass the filter of `nodes`, so that others aren't moved for a join with these."""
     bits = node_filter(nodes)
 
     def run(batches):
         for batch in batches:
-            kept = batch.filter(pa.array([passes(bits, n) for n in batch.column(0).to_pylist()], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(np.zeros(len(kept), np.int32)), kept.column(1)], ["node", "l", "shingles"])
-
-    return sets.mapInArrow(run, "node long, l int, shingles binary")
-
-
-def longer_prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """node, l, and a longer prefix of each set, sorted."""
-
-    def run(batches):
-        for batch in batches:
-            some = [longer_prefix(np.frombuffer(x.as_py(), np.uint64), counts, percent) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([level for _, level in some], pa.int32()), pa.array([np.sort(s).tobytes() for s, _ in some], pa.binary())], ["node", "l", "shingles"])
+            yield batch.filter(pa.array([passes(bits, n) for n in batch.column(0).to_pylist()], pa.bool_()))
 
-    return sets.mapInArrow(run, "node long, l int, shingles binary")
+    return sets.mapInArrow(run, sets.schema)
 
 
 def longer_prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -481,11 +476,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs, members = stored(cold_pairs(shared, percent), "pairs"), stored(hot_groups(shared), "members")
     forget(shared)
     ends = lambda p: p.select("a").union(p.select("b")).toDF("node")
-    sets = sets_of(texts, k, ends(pairs).union(members.select("node")))
     # Candidates by few shared shingles are tested on longer prefixes, which need as many more, before whole sets are moved.
-    likely = stored(tested(pairs, longer_prefixes(sets, counts, percent), lambda x, y, level: shared_by(x, y) >= level), "pairs")
-    links = stored(tested(likely, whole_sets(sets, ends(likely)), similar(percent)), "links")
-    forget(pairs, likely)
+    prefixes = sets_of(texts, k, ends(pairs), lambda s: longer_prefix(s, counts, percent))
+    likely = stored(tested(pairs, prefixes, lambda x, y, level: shared_by(x, y) >= level), "pairs")
+    forget(pairs, prefixes)
+    sets = sets_of(texts, k, ends(likely).union(members.select("node")))
+    links = stored(tested(likely, only(sets, ends(likely)), similar(percent)), "links")
+    forget(likely)
     hot = hot_links(members, sets, links, percent)
     labels = components(reduce(DataFrame.union, hot, links))
     forget(sets, links, *hot)
