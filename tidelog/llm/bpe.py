@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, map_batches
+from .common import KEPT, give_back, map_batches
 
 #: Words kept with their tokens by a Python worker; the memory is emptied when full.
-WORDS = 1 << 18
+WORDS = 1 << 16
 #: Characters of a text that the encoder takes at a time.
 PIECE = 1 << 16
 #: Fixed value of byte-level BPE: how text falls into words.
@@ -230,7 +230,9 @@ def merge_list(path: str) -> MergeList:
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(merge_list(path))
+    out = Encoder(merge_list(path))
+    give_back()
+    return out
 
 
 KEPT["bpe"] = [encoder.cache_clear, merge_list.cache_clear]

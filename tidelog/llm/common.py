@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes in one Arrow batch, so that very long texts don't pile up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
