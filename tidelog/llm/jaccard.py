@@ -368,8 +368,8 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     bits = nodes.selectExpr(f"cast(pmod(node, {size}) div 64 as int) word", "shiftleft(1L, cast(pmod(node, 64) as int)) bit")
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(size // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
+    found = words.toArrow()  # at most FILTER's bits
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
