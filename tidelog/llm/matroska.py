@@ -1,9 +1,10 @@
 """Matroska media columns: EBML elements, clusters, lacing and cues as packet tables.
 
-`mux` stores bytes losslessly as one track of 8-bit PCM; `parse` reads any Matroska
-bytes: variable-length ids and sizes, unknown sizes, SimpleBlock and BlockGroup,
-the three lacings, cues. Null text is an empty text; broken media give an `error`
-and the packets before it, never an exception in a job.
+`mux` stores bytes losslessly as one track of 8-bit PCM; `walk` reads any Matroska
+bytes, block by block: variable-length ids and sizes, unknown sizes, SimpleBlock and BlockGroup,
+the three lacings, cues, each of which must point to a cluster. Null text is an empty text; broken media
+give an `error` and the packets before it, also those of elements that are cut off, never an exception in a job.
+Rows with equal ids stay apart.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_batches, utf8
+from .common import bounded_batches, make_room, map_batches, utf8
 
 #: Fixed values of the format: element ids.
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -29,6 +30,7 @@ DOC_TYPE, TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE = 0x
 CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+MASTERS = frozenset({SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS})
 TOP_LEVEL = frozenset({SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, ATTACHMENTS, CHAPTERS, TAGS, SEGMENT, EBML})
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
@@ -98,12 +100,11 @@ def padded(data: bytes) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The payload (a multiple of FRAME bytes) as the samples of one PCM track; the lacing goes round block by block."""
-    parts, at, cues = [INFO_AND_TRACKS], len(INFO_AND_TRACKS), []
-    frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
-    for first in range(0, len(frames), CLUSTER_FRAMES):
+    parts, at, cues, n = [INFO_AND_TRACKS], len(INFO_AND_TRACKS), [], len(payload) // FRAME
+    for first in range(0, n, CLUSTER_FRAMES):
         blocks = [number(CLUSTER_TIMESTAMP, first * FRAME_MS)]
-        for k in range(first, min(first + CLUSTER_FRAMES, len(frames)), BLOCK_FRAMES):
-            group = frames[k : min(k + BLOCK_FRAMES, first + CLUSTER_FRAMES)]
+        for k in range(first, min(first + CLUSTER_FRAMES, n), BLOCK_FRAMES):
+            group = [payload[i * FRAME : (i + 1) * FRAME] for i in range(k, min(k + BLOCK_FRAMES, first + CLUSTER_FRAMES, n))]
             lacing = LACINGS[1 + k // BLOCK_FRAMES % 3] if len(group) > 1 else "none"
             blocks.append(simple_block(1, (k - first) * FRAME_MS, group, lacing))
         cues.append(element(CUE_POINT, number(CUE_TIME, first * FRAME_MS) + element(CUE_TRACK_POSITIONS, number(CUE_TRACK, 1) + number(CUE_CLUSTER_POSITION, at))))
@@ -132,7 +133,10 @@ def read_size(buf: bytes, at: int, end: int) -> tuple[int, int]:
 
 
 def elements(buf: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end of body) of the children. An unknown size ends at the next element that can't be a child."""
+    """(id, start, end of body) of the children. An unknown size ends at the next element that can't be a child.
+
+    A master element that is cut off is given as far as it goes, before the error.
+    """
     while at < end:
         width = 9 - buf[at].bit_length() if buf[at] else 9
         if width > 4 or at + width > end:
@@ -144,14 +148,19 @@ def elements(buf: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[i
         if n < 0:
             stop = end
             if ident == CLUSTER:
-                stop = body
-                for _, _, stop in elements(buf, body, end, CLUSTER):
-                    pass
+                try:
+                    stop = body
+                    for _, _, stop in elements(buf, body, end, CLUSTER):
+                        pass
+                except Broken:
+                    stop = end
         else:
             stop = body + n
-            if stop > end:
+            if stop > end and ident not in MASTERS:
                 raise Broken(f"element {ident:x} cut off at {at}")
-        yield ident, body, stop
+        yield ident, body, min(stop, end)
+        if stop > end:
+            raise Broken(f"element {ident:x} cut off at {at}")
         at = stop
 
 
@@ -198,7 +207,7 @@ def lace_sizes(buf: bytes, at: int, end: int, lacing: int) -> tuple[list[int], i
 
 @dataclass
 class Media:
-    """packets: (track, cluster, block, lace, timestamp in ns, duration in ns or -1, keyframe, start, length, lacing)."""
+    """What isn't packets. clusters: where each begins in the segment. cues: (timestamp in ns, track, place of the cluster)."""
 
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple] = field(default_factory=list)
@@ -208,23 +217,37 @@ class Media:
     error: str = ""
 
 
-def parse(buf: bytes) -> Media:
-    """Read the whole media; at a fault, what came before it and the fault."""
-    media = Media()
+def walk(buf: bytes, media: Media) -> Iterator[list[tuple]]:
+    """Block by block its packets, while `media` gets the rest; at a fault, it ends, and media.error tells which.
+
+    A packet: (track, cluster, block, lace, timestamp in ns, duration in ns or -1, keyframe, start, length, lacing).
+    """
     try:
-        top = list(elements(buf, 0, len(buf)))
-        if not top or top[0][0] != EBML:
-            raise Broken("no EBML header")
-        for ident, start, end in top:
+        first = True
+        for ident, start, end in elements(buf, 0, len(buf)):
+            if first and ident != EBML:
+                raise Broken("no EBML header")
+            first = False
             if ident == SEGMENT:
-                read_segment(buf, start, end, media)
+                yield from read_segment(buf, start, end, media)
+        if first:
+            raise Broken("no EBML header")
+        if lost := [place for _, _, place in media.cues if place not in set(media.clusters)]:
+            raise Broken(f"{len(lost)} cues point to no cluster")
     except (Broken, IndexError, struct.error) as e:
         media.error = str(e) or type(e).__name__
+
+
+def parse(buf: bytes) -> Media:
+    """The whole media with its packets."""
+    media = Media()
+    for packets in walk(buf, media):
+        media.packets += packets
     return media
 
 
-def read_segment(buf: bytes, start: int, end: int, media: Media) -> None:
-    scale = 1_000_000
+def read_segment(buf: bytes, start: int, end: int, media: Media) -> Iterator[list[tuple]]:
+    scale, begin = 1_000_000, start
     for ident, at, stop in elements(buf, start, end):
         if ident == INFO:
             for child, *span in elements(buf, at, stop):
@@ -236,12 +259,13 @@ def read_segment(buf: bytes, start: int, end: int, media: Media) -> None:
                     track = read_track(buf, a, b)
                     media.tracks[track["number"]] = track
         elif ident == CLUSTER:
-            media.clusters.append(at - start)
-            read_cluster(buf, at, stop, media, scale)
+            media.clusters.append(begin - start)
+            yield from read_cluster(buf, at, stop, media, scale)
         elif ident == CUES:
             for child, a, b in elements(buf, at, stop):
                 if child == CUE_POINT:
                     read_cue(buf, a, b, media, scale)
+        begin = stop
 
 
 def read_track(buf: bytes, at: int, stop: int) -> dict:
@@ -261,31 +285,32 @@ def read_track(buf: bytes, at: int, stop: int) -> dict:
     return track
 
 
-def read_cluster(buf: bytes, at: int, stop: int, media: Media, scale: int) -> None:
+def read_cluster(buf: bytes, at: int, stop: int, media: Media, scale: int) -> Iterator[list[tuple]]:
     base = 0
     for ident, a, b in elements(buf, at, stop, CLUSTER):
         if ident == CLUSTER_TIMESTAMP:
             base = uint(buf, (a, b))
         elif ident == SIMPLE_BLOCK:
-            read_block(buf, a, b, media, base, scale, None, bool(buf[read_size(buf, a, b)[1] + 2] & 0x80))
+            yield read_block(buf, a, b, media, base, scale, None, bool(buf[read_size(buf, a, b)[1] + 2] & 0x80))
         elif ident == BLOCK_GROUP:
             inner = {i: (c, d) for i, c, d in elements(buf, a, b)}
             if BLOCK in inner:
                 lasts = uint(buf, inner[BLOCK_DURATION]) * scale if BLOCK_DURATION in inner else None
-                read_block(buf, *inner[BLOCK], media, base, scale, lasts, REFERENCE_BLOCK not in inner)
+                yield read_block(buf, *inner[BLOCK], media, base, scale, lasts, REFERENCE_BLOCK not in inner)
 
 
-def read_block(buf: bytes, a: int, b: int, media: Media, base: int, scale: int, lasts: int | None, key: bool) -> None:
+def read_block(buf: bytes, a: int, b: int, media: Media, base: int, scale: int, lasts: int | None, key: bool) -> list[tuple]:
     track, at = read_size(buf, a, b)
     relative, flags = struct.unpack_from(">hB", buf, at)
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(buf, at + 3, b, lacing)
     each = media.tracks.get(track, {}).get("default_ns", -1) if lasts is None else lasts // len(sizes)
-    stamp, cluster = (base + relative) * scale, len(media.clusters) - 1
+    stamp, cluster, out = (base + relative) * scale, len(media.clusters) - 1, []
     for k, n in enumerate(sizes):
-        media.packets.append((track, cluster, media.blocks, k, stamp + k * max(each, 0), each, key, at, n, LACINGS[lacing]))
+        out.append((track, cluster, media.blocks, k, stamp + k * max(each, 0), each, key, at, n, LACINGS[lacing]))
         at += n
     media.blocks += 1
+    return out
 
 
 def read_cue(buf: bytes, a: int, b: int, media: Media, scale: int) -> None:
@@ -322,32 +347,64 @@ def packet_table(df: DataFrame, id_col: str, media_col: str = "media") -> DataFr
     added = T.StructType.fromDDL(PACKET)
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *added.fields])
 
+    kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.string() if f.dataType == T.StringType() else pa.int64() for f in added.fields]
+
     def run(batches):
+        make_room()
         for batch in batches:
-            owner, packets = [], []
-            for k, buf in enumerate(batch.column(1).to_pylist()):
-                found = parse(buf).packets if buf else []
-                owner += [k] * len(found)
-                packets += found
-            if packets:
-                columns = zip(*packets)
-                kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.string() if f.dataType == T.StringType() else pa.int64() for f in added.fields]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.fieldNames())
+            for k in range(batch.num_rows):
+                for packets in chunks(walk(batch.column(1)[k].as_py() or b"", Media())):
+                    ids = batch.column(0).take(pa.array([k] * len(packets)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, kind in zip(zip(*packets), kinds))], schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
 
-def features(samples: bytes, media: Media) -> str:
-    """Level, spread, crossings of the middle, entropy and the shape of the container; fixed decimals."""
-    x = np.frombuffer(samples, np.uint8)
-    counts = np.bincount(x, minlength=256)
-    share = counts[counts > 0] / max(1, len(x))
-    middle = x >= 96
-    lengths = sum(p[5] for p in media.packets if p[5] > 0) // 1_000_000
-    return (
-        f"mean={x.mean():.6f};std={x.std():.6f};crossings={int((middle[1:] != middle[:-1]).sum())};entropy={-(share * np.log2(share)).sum():.6f}"
-        f";tracks={len(media.tracks)};clusters={len(media.clusters)};blocks={media.blocks};packets={len(media.packets)};cues={len(media.cues)};ms={lengths}"
-    )
+def chunks(blocks: Iterator[list[tuple]], most: int = 1 << 14) -> Iterator[list[tuple]]:
+    some: list[tuple] = []
+    for b in blocks:
+        some += b
+        if len(some) >= most:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+class Digest:
+    """Of the samples, block by block: digest, last bytes, histogram, crossings of the middle; and the packets' number and time."""
+
+    def __init__(self):
+        self.sha, self.n, self.tail, self.counts, self.crossings, self.packets, self.ns, self.above = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0, 0, None
+
+    def add(self, buf: bytes, packets: list[tuple]) -> None:
+        """Frames of a block stand side by side."""
+        samples = memoryview(buf)[packets[0][7] : packets[-1][7] + packets[-1][8]]
+        self.packets += len(packets)
+        self.ns += sum(p[5] for p in packets if p[5] > 0)
+        if not len(samples):
+            return
+        self.sha.update(samples)
+        self.n += len(samples)
+        self.tail = (self.tail + bytes(samples[-16:]))[-16:]
+        x = np.frombuffer(samples, np.uint8)
+        self.counts += np.bincount(x, minlength=256)
+        above = x >= 96
+        self.crossings += int(np.count_nonzero(above[1:] != above[:-1])) + int(self.above is not None and self.above != bool(above[0]))
+        self.above = bool(above[-1])
+
+    def feature(self, media: Media) -> str:
+        """Level, spread, crossings of the middle, entropy and the shape of the container; fixed decimals."""
+        if not self.n:
+            return ""
+        share = self.counts / self.n
+        mean = float(share @ np.arange(256))
+        std = float(np.sqrt(share @ (np.arange(256) - mean) ** 2))
+        some = share[share > 0]
+        return (
+            f"mean={mean:.6f};std={std:.6f};crossings={self.crossings};entropy={-(some * np.log2(some)).sum():.6f}"
+            f";tracks={len(media.tracks)};clusters={len(media.clusters)};blocks={media.blocks};packets={self.packets};cues={len(media.cues)};ms={self.ns // 1_000_000}"
+        )
 
 
 def media_digest(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -357,18 +414,15 @@ def media_digest(df: DataFrame, media_col: str = "media") -> DataFrame:
     """
     place = df.columns.index(media_col)
 
-    def digest(batch):
+    def run(batch):
         rows = []
         for buf in batch.column(place).to_pylist():
-            buf = buf or b""
-            media = parse(buf)
-            samples = b"".join(buf[p[7] : p[7] + p[8]] for p in media.packets)
-            rows.append((
-                len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(buf), hashlib.sha256(buf).hexdigest(),
-                features(samples, media) if samples else "", media.error or None,
-            ))
+            buf, media, digest = buf or b"", Media(), Digest()
+            for packets in walk(buf, media):
+                digest.add(buf, packets)
+            rows.append((digest.n, digest.sha.hexdigest(), zlib.crc32(digest.tail), len(buf), hashlib.sha256(buf).hexdigest(), digest.feature(media), media.error or None))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
 
     columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    return map_batches(df, columns, digest).drop(media_col)
+    return map_batches(df, columns, run).drop(media_col)
