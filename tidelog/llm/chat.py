@@ -77,7 +77,7 @@ def formatted(df: DataFrame, template: Template = Template(), conv: str = "conv_
 
 
 def read_back(df: DataFrame, template: Template = Template(), conv: str = "conv_id") -> DataFrame:
-    """conv, turns (role, text), loss_text, formatted_chars, valid, first_wrong_turn, parsed from the formatted text and the flagged segments."""
+    """conv, turns (role, text), loss_text, formatted_chars, valid, first_wrong_turn; turns and the text under loss are parsed from the formatted text alone."""
     literal = lambda s: "\\Q" + s + "\\E"
     # split() leaves an empty string after the last closing mark.
     parts = F.filter(F.split(F.col("formatted"), literal(template.close), -1), lambda p: p != "")
@@ -86,11 +86,12 @@ def read_back(df: DataFrame, template: Template = Template(), conv: str = "conv_
         head = F.split(F.substr(p, F.lit(len(template.open_turn) + 1)), literal(template.open_text), 2)
         return F.struct(template.unescape(head[0]).alias("role"), template.unescape(head[1]).alias("text"))
 
-    under_loss = F.filter("segments", lambda s: s["loss"] & (s["text"] != template.close))
+    turns = F.transform(parts, turn)
+    under_loss = F.filter(turns, lambda t: t["role"].isin(*template.loss_roles))
     return df.select(
         conv,
-        F.transform(parts, turn).alias("turns"),
-        template.unescape(F.array_join(F.transform(under_loss, lambda s: s["text"]), "")).alias("loss_text"),
+        turns.alias("turns"),
+        F.array_join(F.transform(under_loss, lambda t: t["text"]), "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
         "first_wrong_turn",
