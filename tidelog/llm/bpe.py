@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, give_back, map_batches
+from .common import KEPT, give_back, map_batches, vocabulary
 
 #: Words kept with their tokens by a Python worker; the memory is emptied when full.
 WORDS = 1 << 16
@@ -225,7 +225,7 @@ class Decoder:
 
 @functools.lru_cache(2)
 def merge_list(path: str) -> MergeList:
-    return MergeList(path)
+    return MergeList(vocabulary(path))
 
 
 @functools.lru_cache(2)

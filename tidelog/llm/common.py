@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import re
 import tempfile
 import uuid
@@ -86,6 +87,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def vocabulary(path: str) -> str:
+    """A vocabulary's file: a path as it is, a mere name where the public tokenizers are installed (on the executor that asks)."""
+    if os.sep in path:
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

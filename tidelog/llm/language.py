@@ -4,7 +4,7 @@ Subwords are the byte n-grams (1 to 4 bytes, spaces included) of the lower-cased
 text, hashed to BUCKETS vectors. A text is the mean of its subwords' vectors; a
 linear softmax on it gives the languages. Vectors and softmax are trained together
 by stochastic gradient descent in numpy, on at most SAMPLE labelled texts chosen by
-a hash of their id: the one bounded sample. It is split over all languages of the rows,
+a hash of id and text: the one bounded sample. It is split over all languages of the rows,
 each of which has a text in it at least (so with more than SAMPLE languages it has one
 of each). A fifth of it is kept from training to
 calibrate: it fits the softmax's temperature and the margin (of the best logit over
@@ -142,7 +142,8 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    place = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    # The text too: ids may be null or repeated.
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("place", place)
     first = F.struct("place", F.xxhash64("text"))
     found = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(first).alias("first")).collect()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,13 +12,8 @@ from . import bpe, chat, decontaminate, jaccard, language, licenses, matroska, p
 from .common import map_batches, table
 
 
-def tokenizer(name: str) -> str:
-    """Where a public vocabulary file lies: in TOKENIZER_DIR, or in the installed package."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if not folder:
-        spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
-    return os.path.join(folder, name)
+#: Names of public vocabularies; they are found on the executors.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +36,12 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digest(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), ["doc_id"])
+    return bpe.token_digest(documents(spark, sf_dir), BYTE_BPE, ["doc_id"])
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    known = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    known = docs.where(~language.held_out("doc_id"))
     model = language.train(known, "text", "lang", "doc_id")
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -79,7 +72,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), PIECE_BPE)
 
 
 #: A conversation whose texts are control strings of a well-known template.

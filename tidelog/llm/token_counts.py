@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import KEPT, map_batches
+from .common import KEPT, map_batches, vocabulary
 
 #: Characters of a chunk and of the overlap of two chunks; encoded texts at a time.
 CHUNK, OVERLAP, AT_ONCE = 1 << 14, 256, 64
@@ -155,7 +155,7 @@ def count_texts(model: Model, texts: list[str], chunk: int = CHUNK, overlap: int
 
 @functools.lru_cache(2)
 def model(path: str) -> Model:
-    return Model(path)
+    return Model(vocabulary(path))
 
 
 KEPT["token_counts"] = [model.cache_clear]
