@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import both, connection
 from tests.llm import brute as B
+from tidelog.llm.common import vocabulary
 from tidelog.llm import bpe, chat, decontaminate, jaccard, language, licenses, matroska, pii, queries, token_counts, urls
 
 LONG = "word " * 30_000
@@ -43,7 +45,7 @@ def test_matroska_round_trip():
         data = matroska.padded(rnd.randbytes(n))
         media = matroska.parse(buf := matroska.mux(data))
         assert not media.error and b"".join(buf[p[7] : p[7] + p[8]] for p in media.packets) == data
-        assert [c[2] for c in media.cues] == [c - 6 for c in media.clusters] or len(media.cues) == len(media.clusters)
+        assert [place for _, _, place in media.cues] == media.clusters and [stamp for stamp, _, _ in media.cues] == [next(p[4] for p in media.packets if p[1] == k) for k in range(len(media.clusters))]
 
 
 @pytest.mark.parametrize("lacing", ["xiph", "ebml", "none"])
@@ -58,11 +60,41 @@ def test_lacing_of_unequal_frames_in_unknown_sizes(lacing):
     assert media.packets[0][4] == 105_000_000 and len(media.clusters) == 2
 
 
-def test_broken_media_tell_why():
-    whole = matroska.mux(matroska.padded(b"hello"))
-    for cut in range(0, len(whole), 7):
-        assert matroska.parse(whole[:cut]).error
-    assert matroska.parse(b"\x00junk").error
+def test_broken_media_give_what_came_before():
+    data = matroska.padded(random.Random(5).randbytes(250_000))
+    whole = matroska.mux(data)
+    packets = matroska.parse(whole).packets
+    for cut in [*range(0, 400, 7), *range(400, len(whole), 9973), len(whole) - 5, len(whole) - 1]:
+        media = matroska.parse(whole[:cut])
+        done = [p for p in packets if p[7] + p[8] <= cut]
+        blocks = {p[2] for p in packets if p[7] + p[8] > cut}
+        assert media.error and media.packets == [p for p in done if p[2] not in blocks]
+    assert matroska.parse(b"\x00junk").error and matroska.parse(b"").error
+    astray = whole.replace(matroska.number(matroska.CUE_CLUSTER_POSITION, len(matroska.INFO_AND_TRACKS)), matroska.number(matroska.CUE_CLUSTER_POSITION, len(matroska.INFO_AND_TRACKS) + 1))
+    media = matroska.parse(astray)
+    assert astray != whole and "cues" in media.error and media.packets == packets
+
+
+def test_media_digests_match_brute_force(spark, sf):
+    frames = [(frame(spark), TEXTS), (spark.read.parquet(f"{sf}/documents.parquet"), docs_of(sf))]
+    for df, texts in frames:
+        rows = df.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+        got = sorted(map(repr, (tuple(r) for r in matroska.media_digest(matroska.mux_texts(rows).drop("text")).collect())))
+        want = []
+        for i, text in texts:
+            raw = (text or "").encode()
+            data = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+            media = matroska.mux(data)
+            n, n_packets = len(data), len(data) // 192
+            mean = sum(data) / n
+            std = math.sqrt(sum((b - mean) ** 2 for b in data) / n)
+            above = [b >= 96 for b in data]
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+            clusters = -(-n_packets // 1024)
+            blocks = sum(-(-min(1024, n_packets - 1024 * k) // 8) for k in range(clusters))
+            feature = f"mean={mean:.6f};std={std:.6f};crossings={sum(x != y for x, y in zip(above, above[1:]))};entropy={entropy:.6f};tracks=1;clusters={clusters};blocks={blocks};packets={n_packets};cues={clusters};ms={24 * n_packets}"
+            want.append(repr((i, len(raw), n, hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, None)))
+        assert got == sorted(want)
 
 
 def test_media_columns(spark):
@@ -166,7 +198,7 @@ def odd_texts(n, seed, longest):
 
 def test_bpe_is_the_librarys():
     tokenizers = pytest.importorskip("tokenizers")
-    path = queries.tokenizer("byte_bpe_50k.json")
+    path = vocabulary(queries.BYTE_BPE)
     library, own = tokenizers.Tokenizer.from_file(path), bpe.encoder(path)
     texts = odd_texts(1500, 5, 40) + ["a" * 20_000, "ab" * 9000, "x " * 50_000, " " * 70_000, "tion" * 5000]
     decoder = bpe.Decoder(own.m)
@@ -179,7 +211,7 @@ def test_bpe_is_the_librarys():
 
 
 def test_token_counts_are_the_librarys():
-    model = token_counts.model(queries.tokenizer("piece_bpe_32k.model"))
+    model = token_counts.model(vocabulary(queries.PIECE_BPE))
     texts = odd_texts(400, 6, 300) + ["a" * 3000, " " * 3000, "the" * 900]
     want = [len(x) for x in model.encode(texts)]
     for chunk, overlap in ((60, 8), (500, 32), (1 << 14, 256)):
@@ -187,7 +219,7 @@ def test_token_counts_are_the_librarys():
 
 
 def test_token_counts_without_stable_boundaries():
-    model = token_counts.model(queries.tokenizer("piece_bpe_32k.model"))
+    model = token_counts.model(vocabulary(queries.PIECE_BPE))
     rnd = random.Random(2)
     texts = ["a" * 60_000, "ab" * 30_000, " " * 50_000, "=" * 40_000, "".join(rnd.choices("abc", k=50_000)), "x" * 20_000 + " and then. " * 900 + "0" * 30_000]
     assert [n for n, _, _ in token_counts.count_texts(model, texts)] == [len(x) for x in model.encode(texts)]
@@ -200,10 +232,10 @@ def test_token_counts_without_stable_boundaries():
 
 def test_token_columns(spark):
     rows = frame(spark)
-    assert by_id(bpe.token_digest(rows, queries.tokenizer("byte_bpe_50k.json"), ["doc_id"]), "n_tokens", "round_trip")[1] == (0, True)
-    packed = bpe.encode(rows.select("doc_id", "text"), queries.tokenizer("byte_bpe_50k.json"))
-    assert by_id(bpe.decode(packed, queries.tokenizer("byte_bpe_50k.json")), "decoded") == {i: (t or "",) for i, t in TEXTS}
-    counts = by_id(token_counts.token_counts(rows.select("doc_id", "text"), queries.tokenizer("piece_bpe_32k.model")), "n_tokens", "n_bytes")
+    assert by_id(bpe.token_digest(rows, vocabulary(queries.BYTE_BPE), ["doc_id"]), "n_tokens", "round_trip")[1] == (0, True)
+    packed = bpe.encode(rows.select("doc_id", "text"), vocabulary(queries.BYTE_BPE))
+    assert by_id(bpe.decode(packed, vocabulary(queries.BYTE_BPE)), "decoded") == {i: (t or "",) for i, t in TEXTS}
+    counts = by_id(token_counts.token_counts(rows.select("doc_id", "text"), vocabulary(queries.PIECE_BPE)), "n_tokens", "n_bytes")
     assert counts[1] == (0, 0) and counts[6][1] == 150_000
 
 
