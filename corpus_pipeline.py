@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, jaccard, language, pii
 from tidelog.llm.common import stored, table
-from tidelog.llm.queries import tokenizer
+from tidelog.llm.queries import BYTE_BPE
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the documents' tokens and digests of them and of what they decode to."""
-    return bpe.token_digest(docs, tokenizer("byte_bpe_50k.json"), ["doc_id", "lang", "source"])
+    return bpe.token_digest(docs, BYTE_BPE, ["doc_id", "lang", "source"])
 
 
 STAGES = [
