@@ -37,12 +37,10 @@ def counts(source: DataFrame, target: DataFrame, queries: dict[str, dict]) -> Da
     """query, source, target: exact counts; one scan of each side for all queries."""
 
     def one(df: DataFrame, name: str) -> DataFrame:
-        flags = F.array(*(F.struct(F.lit(k).alias("query"), F.coalesce(predicate(q), F.lit(False)).alias("hit")) for k, q in queries.items()))
-        return df.select(F.explode(flags).alias("f")).groupBy("f.query").agg(F.count_if("f.hit").alias(name))
+        row = df.agg(*(F.count_if(F.coalesce(predicate(q), F.lit(False))).alias(f"__{k}") for k, q in enumerate(queries.values())))
+        return row.select(F.explode(F.array(*(F.struct(F.lit(q).alias("query"), F.col(f"__{k}").alias(name)) for k, q in enumerate(queries)))).alias("f")).select("f.*")
 
-    names = source.sparkSession.createDataFrame([(k,) for k in queries], "query string")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return names.join(one(source, "source"), "query", "left").join(one(target, "target"), "query", "left").select("query", zero("source"), zero("target"))
+    return one(source, "source").join(one(target, "target"), "query").select("query", "source", "target")
 
 
 def within(counts: DataFrame, tolerances: list[int]) -> DataFrame:

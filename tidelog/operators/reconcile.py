@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.routing import effective_routing, shard_of
+from ..functions.routing import buckets_for, effective_routing, shard_of
 
 PAYLOAD = ("event_type", "value", "props")
 WRITES = ("INDEX", "CREATE")
@@ -73,14 +76,22 @@ def accounted(writes: DataFrame, per_op: int) -> DataFrame:
     return writes.withColumn("applied", F.when(place == 0, 1).otherwise(0).cast("long")).withColumn("progress_seq", F.when(place == per_op - 1, F.col("seq_no")).otherwise(-1).cast("long"))
 
 
-def synthetic_keys(spark, shards: int, prefix: str = "route", rounds: int = 10) -> DataFrame:
-    """target_shard, routing: for every shard the first candidate that hashes to it. Raises in the plan's check if one is missing."""
-    import math
-
-    n = max(20 * shards, int(shards * math.log(max(shards, 2)) * 4))
-    for r in range(rounds):
-        tried = spark.range(n * (r + 1)).select(F.col("id"), F.concat(F.lit(f"{prefix}-"), F.floor(F.col("id") / n), F.lit("-"), F.col("id") % n).alias("routing"))
-        keys = tried.groupBy(shard_of(F.col("routing"), shards).alias("target_shard")).agg(F.min_by("routing", "id").alias("routing"))
-        if keys.count() == shards:
-            return keys
+def synthetic_keys(spark, shards: int, prefix: str = "route", rounds: int = 10, buckets: int | None = None) -> DataFrame:
+    """target_shard, routing: for every shard the first candidate that hashes to it. As many rows as shards, made on the driver; an error if one is missing."""
+    buckets = buckets or buckets_for(shards)
+    if buckets % shards:
+        raise ValueError(f"{shards} shards don't divide {buckets} buckets")
+    n, found = max(20 * shards, int(shards * math.log(max(shards, 2)) * 4)), {}
+    for k in range(n * rounds):
+        key = f"{prefix}-{k // n}-{k % n}"
+        found.setdefault(int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % buckets // (buckets // shards), key)
+        if len(found) == shards:
+            return spark.createDataFrame(sorted(found.items()), "target_shard long, routing string")
     raise ValueError(f"no routing key found for some of {shards} shards")
+
+
+def routed_or_not(deletes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Deletes with the synthetic routing of their target shard; those of a shard without a key are sent once, unrouted (routing and target_shard null)."""
+    # The key table has one row a shard.
+    joined = deletes.join(F.broadcast(keys), "target_shard", "left").withColumn("target_shard", F.when(F.col("routing").isNotNull(), F.col("target_shard")))
+    return joined.where("routing is not null").unionByName(joined.where("routing is null").dropDuplicates(["source_shard", "seq_no"]))

@@ -84,6 +84,27 @@ def allowed(before: Column, after: Column) -> Column:
     return step | stop | end
 
 
+def may_move(before: str, after: str) -> bool:
+    """allowed() for two phases."""
+    step = before in HAPPY_PATH and after in HAPPY_PATH and HAPPY_PATH.index(after) == HAPPY_PATH.index(before) + 1
+    return step or after in ("CANCELLING", "FAILING") and before not in TERMINAL or (before, after) in (("CANCELLING", "CANCELLED"), ("FAILING", "FAILED"))
+
+
+def consistency(nodes: DataFrame) -> DataFrame:
+    """One row: versions, missing, consistent. nodes: node, version (null: without the engine)."""
+    return nodes.agg(F.countDistinct("version").alias("versions"), F.count_if(F.col("version").isNull()).alias("missing")).withColumn("consistent", (F.col("versions") <= 1) & (F.col("missing") == 0))
+
+
+#: Fixed value: the first host version whose logged deletes carry their routing, as 1000 * major + minor.
+ROUTED_DELETES = 3009
+
+
+def delete_strategy(versions: DataFrame) -> str:
+    """By the oldest host of versions (major, minor)."""
+    oldest = versions.agg(F.min(F.col("major") * 1000 + F.col("minor"))).first()[0]
+    return "TRANSLOG_ROUTING" if oldest is not None and oldest >= ROUTED_DELETES else "SHARD_TOPOLOGY"
+
+
 def transitions(log: DataFrame) -> DataFrame:
     """Each phase with its end: where the next one of the same migration and shard begins."""
     order = Window.partitionBy("migration", "shard").orderBy("at", "event_id")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import scripts
 from ..functions.routing import shard_of
 from ..operators import cutover as C
 from ..operators import transform as X
+from ..requests import Script
+from ..scripts import transform_of
 from ..sources.fixtures import orders_docs, table
 from . import sql as S
 from .registry import query
@@ -131,3 +134,15 @@ def alias_resolution(spark, sf):
     aliases = n.select(F.concat(F.lit("alias-"), F.col("n_nationkey")).alias("alias"), F.concat(F.lit("idx-"), F.col("n_nationkey")).alias("points_to"))
     swaps = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("alias-"), F.col("n_nationkey")).alias("alias"), F.concat(F.lit("idx-"), F.col("n_nationkey"), F.lit("-v2")).alias("new"))
     return C.swapped(aliases, swaps)
+
+
+@query("script_update", f"with {S.ORDERS} select _id, _routing, case when price > 1000 then upper(status) else status end as status, price * 1.5::double as price, custkey, priority as level, 'a;b' as note from docs")
+def script_update(spark, sf):
+    script = Script(source="status = case when price > :least then upper(status) else status end; price = price * cast(:by as double); note = 'a;b'; rename priority to level", params={"least": 1000, "by": 1.5})
+    return transform_of(script)(orders_docs(spark, sf))
+
+
+@query("script_rows", f"with {S.ORDERS} select _id || '-' || k as _id, _routing, status, price from docs, (select unnest(['x', 'y']) as k) where custkey % 3 <> 0")
+def script_rows(spark, sf):
+    scripts.STORED["fan out"] = "select concat(_id, '-', k) as _id, _routing, status, price from {rows} lateral view explode(split(:keys, ',')) as k where custkey % 3 <> 0"
+    return transform_of(Script("stored", id="fan out", params={"keys": "x,y"}, script_context="rows"))(orders_docs(spark, sf))

@@ -51,7 +51,7 @@ def ewma_throughput(spark, sf):
 select writer, round(a, 6) as short, round(b, 6) as long, n as samples, n >= 5 as warm, round(case when b <= 0 then 1 else a / b end, 4) as gradient from ends""")
 def latency_gradient(spark, sf):
     rows = outcomes(spark, sf).withColumn("latency", F.col("took") / F.col("items"))
-    g = C.gradients(rows, "writer", "tick", "latency").select("writer", "state.*")
+    g = C.gradients(rows, "writer", "tick", "latency")
     ratio = F.when(F.col("long") <= 0, 1.0).otherwise(F.col("short") / F.col("long"))
     return g.select("writer", F.round("short", 6).alias("short"), F.round("long", 6).alias("long"), "samples", (F.col("samples") >= 5).alias("warm"), F.round(ratio, 4).alias("gradient"))
 
@@ -59,7 +59,7 @@ def latency_gradient(spark, sf):
 @query("backoff_trace", recursion("", "0::bigint as level, 0::bigint as failures, 0::bigint as pause, false as exhausted", """case when o.success then greatest(s.level - 1, 0) else s.level + 1 end, case when o.success then 0 else s.failures + 1 end,
   case when o.success then s.pause else least(2000 * (1 << least(s.level, 20)::int), 120000) end, s.exhausted or (not o.success and s.failures + 1 >= 50)""") + " select writer, level, failures, pause, exhausted from ends")
 def backoff_trace(spark, sf):
-    return C.backoffs(outcomes(spark, sf), "writer", "tick").select("writer", "state.*")
+    return C.backoffs(outcomes(spark, sf), "writer", "tick")
 
 
 GROW = f"least(tgt + greatest(trunc(tgt * 0.2::double)::bigint, {C.STEP_BYTES}), {C.MAX_BYTES})"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.routing import mode_of, shard_of
 from ..operators import reconcile as R
-from ..sources.fixtures import op_log, orders_docs
+from ..sources.fixtures import op_log, table, orders_docs
 from . import sql as S
 from .registry import query
 
@@ -60,6 +60,22 @@ def delete_route_split(spark, sf):
     return keyed(R.split_targets(deletes(spark, sf), 4), R.synthetic_keys(spark, 12))
 
 
+@query("delete_route_fallback", f"""{LOG}, {keys_sql(12)}, d as (select source_shard, seq_no, _id, target_shard, routing from op_log, unnest(range(source_shard * 4, source_shard * 4 + 4)) t(target_shard) left join (select * from keys where target_shard % 5 <> 2) using (target_shard) where op = 'DELETE')
+select source_shard, seq_no, _id, routing, target_shard from d where routing is not null union all select distinct source_shard, seq_no, _id, null, null from d where routing is null""")
+def delete_route_fallback(spark, sf):
+    keys = R.synthetic_keys(spark, 12).where("target_shard % 5 <> 2")
+    return R.routed_or_not(R.split_targets(deletes(spark, sf), 4), keys).select("source_shard", "seq_no", "_id", "routing", "target_shard")
+
+
+PARTITIONED = "n_nationkey % 6 = 0 and n_regionkey <> 2"
+
+
+@query("partitioned_routing_guard", f"select 'idx-' || n_nationkey as idx, case when n_nationkey % 6 = 0 then 4 else 1 end as routing_partition_size, {PARTITIONED} as rejected from nation")
+def partitioned_routing_guard(spark, sf):
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("idx-"), "n_nationkey").alias("idx"), F.when(F.col("n_nationkey") % 6 == 0, 4).otherwise(1).alias("routing_partition_size"), F.when(F.col("n_regionkey") == 2, "TRANSLOG_ROUTING").otherwise("SHARD_TOPOLOGY").alias("strategy"))
+    return rows.select("idx", "routing_partition_size", ((F.col("routing_partition_size") > 1) & (F.col("strategy") == "SHARD_TOPOLOGY")).alias("rejected"))
+
+
 @query("delete_route_shrink", f"with {S.op_log(shards=6)}, {keys_sql(3)} select source_shard, seq_no, _id, routing, target_shard from op_log join keys on target_shard = source_shard // 2 where op = 'DELETE'")
 def delete_route_shrink(spark, sf):
     return keyed(deletes(spark, sf, 6).withColumn("target_shard", F.floor(F.col("source_shard") / 2)), R.synthetic_keys(spark, 3))

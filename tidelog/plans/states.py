@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.units import byte_sizes
 from ..operators import state as X
+from ..requests import REQUEST_SCHEMA
 from ..sources.fixtures import TERMINAL, migrations, phase_log, shard_states, table
+from ..validate import invalidated, local_primaries
 from . import sql as S
 from .registry import query
 
@@ -125,6 +128,60 @@ def plugin_consistency(spark, sf):
     return nodes.groupBy("cluster").agg(F.countDistinct("version").alias("versions"), F.count_if(F.col("version") == 6).alias("missing")).withColumn("rejected", F.col("versions") > 1)
 
 
+# --- where the shards are ---
+
+PRIMARIES = """primaries as (select 'idx-' || n_nationkey as source_index, shard, case when n_nationkey % 5 = 1 and shard = 1 then null when n_nationkey % 4 = 0 and shard = 2 then 'RELOCATING' else 'STARTED' end as state
+  from nation, (select unnest([0, 1, 2])::bigint as shard) where n_nationkey % 7 <> 3)"""
+
+
+def primaries(spark, sf):
+    n, shard = F.col("n_nationkey"), F.col("shard")
+    rows = table(spark, sf, "nation").where(n % 7 != 3).withColumn("shard", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))))
+    state = F.when((n % 5 == 1) & (shard == 1), None).when((n % 4 == 0) & (shard == 2), "RELOCATING").otherwise("STARTED")
+    return rows.select(F.concat(F.lit("idx-"), "n_nationkey").alias("source_index"), "shard", state.alias("state"))
+
+
+@query("topology_invalid", f"""{M}, {PRIMARIES}, u as (select m.migration_id, p.shard, case when p.shard is null then 'source is gone' when p.state is null then 'no primary of shard ' || p.shard when p.state <> 'STARTED' then 'shard ' || p.shard || ' is ' || p.state end as reason
+  from migrations m left join primaries p using (source_index) left join shards s on s.migration_id = m.migration_id and s.shard = p.shard
+  where m.phase not in ('COMPLETED', 'CANCELLED', 'FAILED', 'FAILING', 'CANCELLING', 'COMPLETING') and s.phase is distinct from 'COMPLETED')
+select migration_id, arg_min(reason, coalesce(shard, -1)) as reason from u where reason is not null group by 1""")
+def topology_invalid(spark, sf):
+    m = migrations(spark, sf)
+    return invalidated(m, primaries(spark, sf), shard_states(m))
+
+
+@query("local_primaries", f"""{M} select 'idx-' || s_nationkey as source_index, s_suppkey % 3 as shard from supplier where s_suppkey % 4 = 2 and s_suppkey % 2 = 0
+and 'idx-' || s_nationkey in (select source_index from migrations where phase not in {TERMINALS})""")
+def local_primaries_of_node(spark, sf):
+    k = F.col("s_suppkey")
+    shards = table(spark, sf, "supplier").select(F.concat(F.lit("idx-"), "s_nationkey").alias("source_index"), (k % 3).alias("shard"), F.concat(F.lit("node-"), k % 4).alias("node"), (k % 2 == 0).alias("is_primary"))
+    return local_primaries(shards, migrations(spark, sf).where(~F.col("phase").isin(*TERMINAL)), "node-2")
+
+
+# --- requests and units ---
+
+BODY = """'{"source_index": "s' || c_custkey || '", "target_index": ' || case when c_custkey % 5 = 0 then 'null' else '"t' || c_custkey || '"' end || ', "junk": 1, "alias": "a", "transform_script": {"type": "' || case when c_custkey % 2 = 0 then 'inline' else 'stored' end || '"}, "options": {"tolerance": ' || c_custkey % 9 || '}}'"""
+
+
+@query("requests_decode", f"""with t as (select c_custkey, {BODY} as body from customer)
+select c_custkey, json_extract_string(body, '$.source_index') as source_index, json_extract_string(body, '$.target_index') as target_index, json_extract_string(body, '$.transform_script.type') as script,
+  json_extract(body, '$.options.tolerance')::bigint as tolerance, json_extract_string(body, '$.target_index') is null as rejected from t""")
+def requests_decode(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.from_json(F.expr(BODY), REQUEST_SCHEMA).alias("r"))
+    wrong = F.col("r.source_index").isNull() | F.col("r.target_index").isNull() | F.col("r.alias").isNull() | F.coalesce(F.col("r.source_index") == F.col("r.target_index"), F.lit(False))
+    return rows.select("c_custkey", "r.source_index", "r.target_index", F.col("r.transform_script.type").alias("script"), "r.options.tolerance", wrong.alias("rejected"))
+
+
+UNIT = "['b', 'kb', 'mb', 'gb', 'KB', 'parsec', ''][c_custkey % 7 + 1]"
+
+
+@query("byte_sizes_parse", f"""select c_custkey, c_custkey || {UNIT} as said, case c_custkey % 7 when 0 then 1 when 1 then 1024 when 2 then 1048576 when 3 then 1073741824 when 4 then 1024 end * c_custkey as bytes from customer""")
+def byte_sizes_parse(spark, sf):
+    said = F.concat("c_custkey", F.element_at(F.array(*map(F.lit, ("b", "kb", "mb", "gb", "KB", "parsec", ""))), (F.col("c_custkey") % 7 + 1).cast("int")))
+    rows = table(spark, sf, "customer").select("c_custkey", said.alias("said"))
+    return rows.withColumn("bytes", byte_sizes(F.col("said")))
+
+
 # --- the phase log ---
 
 NEXT = f"{P}, t as (select *, lead(at_ms) over w as end_ms, lead(phase) over w as next_phase from phases window w as (partition by migration, shard order by at_ms, event_id))"

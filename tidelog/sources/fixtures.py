@@ -9,6 +9,7 @@ from ..functions.routing import shard_of
 
 CUTOFF = "2024-01-16"
 SOURCE_SHARDS = 3
+#: The phases of a migration and of a shard, in their order, and those that end.
 COORDINATOR_PHASES = ("INITIALIZING", "ACTIVE", "PREPARING_TARGET", "CUTTING_OVER", "CATCHING_UP", "COMPLETING", "COMPLETED", "CANCELLING", "CANCELLED", "FAILING", "FAILED")
 SHARD_PHASES = ("PENDING", "ACQUIRING_LEASE", "BACKFILLING", "REPLAYING", "CONVERGING", "CONVERGED", "CATCHING_UP", "COMPLETING", "COMPLETED", "CANCELLING", "FAILING", "CANCELLED", "FAILED")
 TERMINAL = ("COMPLETED", "CANCELLED", "FAILED")
@@ -32,9 +33,21 @@ def op_log(spark: SparkSession, sf_dir: str, ident: Column | None = None, shards
         F.when(user % 3 != 0, F.concat(F.lit("tenant-"), user % 10)).alias("_routing"),
         F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "view", "NO_OP").otherwise("INDEX").alias("op"),
     )
-    rows = rows.withColumn("source_shard", shard_of(F.coalesce("_routing", "_id"), shards))
-    order = Window.partitionBy("source_shard").orderBy("event_id")
-    return rows.withColumn("seq_no", (F.row_number().over(order) - 1).cast("long"))
+    return numbered(rows.withColumn("source_shard", shard_of(F.coalesce("_routing", "_id"), shards)), "source_shard", "event_id", "seq_no")
+
+
+#: Ids whose rows are numbered by one task.
+RUN = 1 << 16
+
+
+def numbered(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """df and `out`: the place of each row in its key's order, from 0. Runs of ids are numbered apart and moved by what lies before them, so no task sees a whole key."""
+    rows = df.withColumn("__run", F.floor(F.col(order) / RUN))
+    sizes = df.select(key, F.floor(F.col(order) / RUN).alias("__run")).groupBy(key, "__run").agg(F.count("*").alias("__n"))
+    # One row for each run.
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy(key, "__run").orderBy(order)) - 1
+    return rows.withColumn("__place", place).join(before, [key, "__run"]).withColumn(out, (F.col("__place") + F.col("__before")).cast("long")).drop("__run", "__place", "__before")
 
 
 def cutoffs(log: DataFrame) -> DataFrame:
