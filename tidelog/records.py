@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The records' schema and settings, which come with the package.
@@ -16,21 +19,37 @@ SCHEMA = T.StructType.fromJson(PACKAGED["schema"])
 KEPT_SETTINGS = ("number_of_shards",)
 
 
+#: Local file systems replace a file in two steps; threads of this driver don't see the time between.
+LOCK = threading.RLock()
+
+
+def alone(method):
+    @functools.wraps(method)
+    def run(*args):
+        with LOCK:
+            return method(*args)
+
+    return run
+
+
 class Files:
     """Small files of a folder, in any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.conf, self.folder = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder.rstrip("/")
-        self.fs = self.path("").getFileSystem(self.conf)
+        self.fs, self.gateway = self.path("").getFileSystem(self.conf), spark.sparkContext._gateway
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
+    @alone
     def names(self) -> list[str]:
         if not self.fs.exists(self.path("")):
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path("")))
 
+    @alone
     def read(self, name: str) -> str | None:
         if not self.fs.exists(self.path(name)):
             return None
@@ -40,30 +59,41 @@ class Files:
         finally:
             stream.close()
 
+    @alone
     def write(self, name: str, text: str) -> None:
-        """The whole file, or the one before: written beside and renamed."""
-        beside = f"_{name}.{uuid.uuid4().hex}"
-        self._put(beside, text, True)
-        self.fs.delete(self.path(name), False)
-        self.fs.rename(self.path(beside), self.path(name))
+        """Written beside and renamed over, so that readers see the whole file or the one before."""
+        self._moved(name, text, "OVERWRITE")
 
+    @alone
     def create(self, name: str, text: str) -> bool:
         """False if there is one."""
+        if self.fs.exists(self.path(name)):
+            return False
         try:
-            self._put(name, text, False)
+            self._moved(name, text, "NONE")
         except Exception as e:
-            if self.fs.exists(self.path(name)):
+            if "FileAlreadyExists" in str(e):
                 return False
-            raise e
+            raise
         return True
 
-    def _put(self, name: str, text: str, overwrite: bool) -> None:
-        stream = self.fs.create(self.path(name), overwrite)
+    def _moved(self, name: str, text: str, how: str) -> None:
+        beside = self.path(f"_{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(beside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kinds, 1)
+        options[0] = getattr(kinds, how)
+        try:
+            self.context.rename(beside, self.path(name), options)
+        except Exception:
+            self.fs.delete(beside, False)
+            raise
 
+    @alone
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
 
@@ -94,15 +124,18 @@ class Records:
         text = self.files.read(f"{migration_id}.json")
         return json.loads(text) if text else None
 
+    def texts(self) -> list[str]:
+        with LOCK:
+            return [self.files.read(n) for n in self.files.names() if n.endswith(".json") and not n.startswith("_")]
+
     def all(self) -> list[dict]:
         """All records: for the driver's own decisions, whose number is that of migrations."""
-        return [json.loads(self.files.read(n)) for n in self.files.names() if n.endswith(".json") and not n.startswith("_")]
+        return [json.loads(t) for t in self.texts()]
 
     def table(self) -> DataFrame:
-        """All records as a DataFrame of SCHEMA."""
-        if not any(n.endswith(".json") and not n.startswith("_") for n in self.files.names()):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).json(f"{self.files.folder}/*.json")
+        """All records as they are now, as a DataFrame of SCHEMA."""
+        texts = self.spark.createDataFrame([(t,) for t in self.texts()], "t string")
+        return texts.select(F.from_json("t", SCHEMA).alias("r")).select("r.*")
 
     def delete(self, migration_id: str) -> bool:
         return self.files.delete(f"{migration_id}.json")
