@@ -16,10 +16,12 @@ are read whole. Rows with equal id and text get the same spans; others stay apar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 #: Kinds in their order, and what the patterns match. The look-behinds and possessive
 #: repeats only keep the search linear: they rule out starts inside a run which can't match if its beginning doesn't.
@@ -34,10 +36,21 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Quotients from which terms are replaced and removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Words that are placed at once.
+#: Numbers that are summed at once.
 BLOCK = 256
 
 
+def running(values: Column, step: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """What `step` makes of the numbers before each one (from 0): their sums, or else. In blocks, so that no array grows by one number at a time."""
+    start = lambda first: F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    more = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+    firsts = F.aggregate(totals, start(F.lit(0)), more, lambda s: s["out"])
+    placed = F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.aggregate(b, start(first), more, lambda s: s["out"])))
+    return F.when(F.size(values) > 0, placed).otherwise(F.array().cast("array<int>"))
+
+
 def luhn(digits: Column) -> Column:
     """Whether the digits' Luhn sum is a multiple of 10."""
     turned = F.transform(F.split(F.reverse(digits), ""), lambda d: d.cast("int"))
@@ -61,16 +74,14 @@ def holds(kind: str, value: Column) -> Column:
 def matched(kind: str, text: Column) -> Column:
     """All matches (kind, start, end, value) with their places in code points: the pieces between matches tell the places."""
     found, pieces = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value")))
+    before = running(F.transform(both, lambda x: x["gap"] + F.length(x["value"])))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-    placed = F.aggregate(both, state, step, lambda s: s["out"])
+    placed = F.zip_with(both, before, span)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     possible = text.rlike("[0-9]") if kind == "card" else text.contains(NEEDS[kind])
     return F.when(possible & F.regexp_like(text, F.lit(PATTERNS[kind])), F.filter(placed, lambda x: holds(kind, x["value"]))).otherwise(none)
@@ -110,54 +121,45 @@ def entity(span: Column) -> Column:
 
 def blanked(text: Column, spans: Column) -> Column:
     """The text with spaces for its spans, so that other places don't move."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    reached = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
 
-    def step(s: Column, x: Column) -> Column:
-        start, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), end - start))).alias("out"))
+    def piece(x: Column, at: Column) -> Column:
+        start, end = F.greatest(at, x["start"]), F.greatest(at, x["end"])
+        return F.concat(F.substr(text, at + 1, start - at), F.repeat(F.lit(" "), end - start))
 
-    done = F.aggregate(spans, state, step)
-    rest = F.substr(text, done["at"] + 1, F.greatest(F.length(text) - done["at"], F.lit(0)))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    rest = F.substr(text, last + 1, F.length(text) - last)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.zip_with(spans, reached, piece), ""), rest)).otherwise(text)
 
 
 def words_of(text: Column) -> Column:
-    """Array of arrays of (term, start, end): the text's words in blocks of BLOCK, so that no array grows by one element a word."""
+    """Array of (term, start, end): the text's words."""
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     words = F.zip_with(F.slice(F.split(text, WORD, -1), 1, F.size(found)), found, lambda p, v: F.struct(F.length(p).alias("gap"), F.length(v).alias("long"), F.lower(v).alias("term")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), lambda k: F.slice(words, k * BLOCK + 1, BLOCK))
-    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, w: n + w["gap"] + w["long"]))
-    starts = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"],
-    )
-
-    def placed(block: Column, at: Column) -> Column:
-        state = F.struct(at.alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
+    before = running(F.transform(words, lambda w: w["gap"] + w["long"]))
+    return F.zip_with(words, before, lambda w, at: F.struct(w["term"].alias("term"), (at + w["gap"]).alias("start"), (at + w["gap"] + w["long"]).alias("end")))
 
-        def step(s: Column, w: Column) -> Column:
-            start = s["at"] + w["gap"]
-            end = start + w["long"]
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(w["term"].alias("term"), start.alias("start"), end.alias("end")))).alias("out"))
 
-        return F.aggregate(block, state, step, lambda s: s["out"])
-
-    none = F.array().cast("array<array<struct<term:string,start:int,end:int>>>")
-    return F.when(F.size(found) > 0, F.zip_with(blocks, starts, placed)).otherwise(none)
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def private_documents(rows: DataFrame) -> DataFrame:
-    """__doc, __id, __hash, n (rows with this id and text), base and __bare (the text without its spans) of the documents with an entity."""
+    """__doc, __id, __hash, n (rows with this id and text), base, __text and __bare (the text without its spans) of the documents with an entity."""
     one = rows.where(F.size("base") > 0).groupBy("__id", "__hash").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("__text").alias("__text"))
-    bare = one.select("__id", "__hash", "n", "base", blanked(F.col("__text"), F.col("base")).alias("__bare"))
+    bare = one.select("__id", "__hash", "n", "base", "__text", blanked(F.col("__text"), F.col("base")).alias("__bare"))
     return stored(bare.withColumn("__doc", F.monotonically_increasing_id()), "pii-private")
 
 
-def document_counts(df: DataFrame, text_col: str, spans_col: str) -> DataFrame:
-    """term, n_term: the documents that have the term besides their spans, of all documents."""
-    text = blanked(F.coalesce(F.col(text_col), F.lit("")), F.col(spans_col))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
-    return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def document_counts(hashed: DataFrame, private: DataFrame) -> DataFrame:
+    """term, n_term: the documents that have the term besides their spans, of all documents.
+
+    Counted in whole texts, then corrected for what the spans of private ones take away, or leave as a word of its own.
+    """
+    every = hashed.select(F.explode(terms_of(F.col("__text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    both = private.select("n", terms_of(F.col("__text")).alias("whole"), terms_of(F.col("__bare")).alias("bare"))
+    gone, new = (both.select(F.explode(F.array_except(x, y)).alias("term"), (F.col("n") * sign).alias("n")) for x, y, sign in (("whole", "bare", -1), ("bare", "whole", 1)))
+    return every.unionByName(gone).unionByName(new).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def told(n_both: Column, n_term: Column) -> Column:
@@ -166,7 +168,7 @@ def told(n_both: Column, n_term: Column) -> Column:
     return 1 - F.log2((n_both + prior) / (n_term + 1)) / F.log2(prior)
 
 
-def disclosed(rows: DataFrame, private: DataFrame) -> DataFrame:
+def disclosed(hashed: DataFrame, private: DataFrame) -> DataFrame:
     """__doc, start, end, action: every place of a term in a document of an entity of which it tells GENERALISE or more.
 
     Entities that stand in the same documents are one class, so are terms: what they tell is the same, and pairs are
@@ -175,15 +177,16 @@ def disclosed(rows: DataFrame, private: DataFrame) -> DataFrame:
     set_of = F.bit_xor(F.xxhash64("__doc"))
     entities = private.select("__doc", "n", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
     counted = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), set_of.alias("e_set"))
-    total = rows.agg(F.count("*").alias("n_all"))
+    total = hashed.agg(F.count("*").alias("n_all"))
+    # One row: not a join that grows.
     entities = stored(entities.join(counted, "entity").select("__doc", "n", "n_entity", "e_set").distinct().crossJoin(F.broadcast(total)).where("n_all > n_entity"), "pii-entities")
     # With t in as many documents of c as there can be; and with t in all of them, which grows with n_entity, so that the most frequent entity bounds all.
     possible = told(F.least("n_entity", "n_term"), F.col("n_term")) >= GENERALISE - 1e-9
     ever = told(F.col("n_entity"), F.col("n_term")) >= GENERALISE - 1e-9
     most = entities.agg(F.max("n_entity").alias("n_entity"), F.max("n_all").alias("n_all"))
-    places = private.select("__doc", F.explode(words_of(F.col("__bare"))).alias("__block")).select("__doc", F.inline("__block"))
+    places = private.select("__doc", F.inline(words_of(F.col("__bare"))))
     terms = stored(places.groupBy("__doc", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "pii-terms")
-    rare = document_counts(rows, "__text", "base").crossJoin(F.broadcast(most)).where(ever).select("term", "n_term")
+    rare = document_counts(hashed, private).crossJoin(F.broadcast(most)).where(ever).select("term", "n_term")
     rare = terms.groupBy("term").agg(set_of.alias("t_set")).join(rare, "term")
     terms = stored(terms.join(rare, "term").select("__doc", "places", "n_term", "t_set"), "pii-rare")
     pairs = stored(entities.join(terms.select("__doc", "n_term", "t_set").distinct(), "__doc").where(possible), "pii-pairs")
@@ -196,11 +199,10 @@ def disclosed(rows: DataFrame, private: DataFrame) -> DataFrame:
 
 def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, __hash (of the text), base and extra spans (kind, start, end, value); extra ones have kind `term` and value remove or generalise."""
-    hashed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__hash", F.sha2(F.coalesce("__text", F.lit("")), 256))
-    rows = base_spans(hashed, "__text", "base")
-    private = private_documents(rows)
+    hashed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__text", F.coalesce("__text", F.lit(""))).withColumn("__hash", F.xxhash64("__text"))
+    private = private_documents(base_spans(hashed, "__text", "base"))
     span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"), F.col("action").alias("value"))
-    extra = disclosed(rows, private).groupBy("__doc").agg(F.array_sort(F.collect_list(span), by_place).alias("extra"))
+    extra = disclosed(hashed, private).groupBy("__doc").agg(F.array_sort(F.collect_list(span), by_place).alias("extra"))
     found = private.join(extra, "__doc", "left").select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "base", "extra")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     out = hashed.select("__id", "__hash").join(found, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
@@ -208,24 +210,25 @@ def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: base ones by their kind, terms by their kind of word or by nothing. Overlaps go to the first."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each span replaced: base ones by their kind, terms by their kind of word or by nothing. Overlapping ones go together, as the first."""
+    reached = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    apart = F.filter(F.zip_with(spans, reached, lambda x, at: F.struct(x.alias("span"), at.alias("at"))), lambda p: p["span"]["start"] >= p["at"])
 
-    def step(s: Column, x: Column) -> Column:
+    def piece(p: Column) -> Column:
+        x = p["span"]
         value = F.substr(text, x["start"] + 1, x["end"] - x["start"])
         word = F.when(value.rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).when(value.rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
         new = F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["value"] == "remove", F.lit("")).otherwise(word)
-        taken = F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, x["start"] - s["at"]), new)).alias("out"))
-        return F.when(x["start"] >= s["at"], taken).otherwise(s)
+        return F.concat(F.substr(text, p["at"] + 1, x["start"] - p["at"]), new)
 
-    done = F.aggregate(spans, state, step)
-    return F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1, F.greatest(F.length(text) - done["at"], F.lit(0))))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.concat(F.array_join(F.transform(apart, piece), ""), F.substr(text, last + 1, F.length(text) - last))
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with its texts sanitised; rows without a span are untouched, null stays null."""
     spans = all_spans(df, id_col, text_col).where(F.size("base") > 0).select(F.col(id_col).alias("__id"), F.col("__hash"), F.array_sort(F.concat("base", "extra"), by_place).alias("__spans")).dropDuplicates(["__id", "__hash"])
-    rows = df.withColumn("__h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = rows.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     new = F.when(F.col("__spans").isNotNull(), sanitised(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
     return out.select(*(new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))

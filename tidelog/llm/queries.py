@@ -32,7 +32,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_digest(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", "extra"), pii.by_place)
-    return pii.all_spans(docs).select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(every).alias("spans"))
+    return pii.all_spans(docs).select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(every).alias("spans"), F.size("base").cast("long").alias("n_base"), F.size("extra").cast("long").alias("n_term"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
