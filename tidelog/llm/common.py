@@ -101,10 +101,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], without: tuple[str, ...] = (), owner: str = "") -> DataFrame:
-    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows. Columns `without` don't come back from Python. What `owner` keeps stays."""
+    """df plus the DDL `columns`; `function` gives their arrays (in order) for each non-empty batch of rows. Columns `without` don't come back from Python. What `owner` keeps stays.
+
+    Columns of df that are named as one of the new ones give way to it.
+    """
     bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(columns)
-    kept = [k for k, f in enumerate(df.schema.fields) if f.name not in without]
+    new = {f.name.lower() for f in added.fields}
+    kept = [k for k, f in enumerate(df.schema.fields) if f.name not in without and f.name.lower() not in new]
     schema = T.StructType([*(df.schema.fields[k] for k in kept), *added.fields])
     names = schema.fieldNames()
 
@@ -119,7 +123,10 @@ def map_batches(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch]
 
 
 def with_results(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list], inputs: list[str]) -> DataFrame:
-    """df plus the DDL `columns`, as map_batches, but only `inputs` go to Python (in order) and only results come back: rows with long texts wait in Spark's own queue, which spills."""
+    """df plus the DDL `columns`, as map_batches, but only `inputs` go to Python (in order) and only results come back: rows with long texts wait in Spark's own queue, which spills.
+
+    Columns of df that are named as one of the new ones give way to it.
+    """
     bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(columns)
     names = added.fieldNames()
@@ -133,7 +140,8 @@ def with_results(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch
 
     # Nondeterministic, so that the optimiser doesn't run it again for each use of a result.
     result = F.arrow_udf(run, added).asNondeterministic()(F.struct(*(F.col(f"`{c}`") for c in inputs)))
-    return df.withColumn("__results", result).select(*(F.col(f"`{c}`") for c in df.columns), "__results.*")
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    return df.withColumn("__results", result).select(*(F.col(f"`{c}`") for c in kept), "__results.*")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

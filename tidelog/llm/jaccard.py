@@ -155,7 +155,9 @@ def read_once(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     for r in table.where("block is not null").select("block", "counts").repartition(SKETCH // BLOCK, "block").mapInArrow(add, block).collect():
         counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r["counts"])
     documents = table.where("block is null").drop("block", "counts")
-    return documents, np.minimum(counts, 2**32 - 1).astype(np.uint32)
+    counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)
+    give_back()
+    return documents, counts
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
@@ -288,23 +290,23 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> tuple[
 
 
 def compared(tiles: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """group, a, b, n, distance: for each tile (keys), what joins its components (a, b), and each node's (a) size n and distance to the pivot.
+    """group, a, b, n, distance: for each tile (keys), what joins its components (a and b; distance -1), and each node's (a, b is a) size n and distance to the pivot.
 
-    tiles: group, keys, node, pivot. The distances come only where the pivot is in the tile.
+    tiles: group, keys, node, pivot. The distances come only where the pivot is in the tile. No column has nulls: pandas would turn ids into floats.
     """
 
     def run(frame):
         nodes, sets = frame["node"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        group, pivot = int(frame["group"].iloc[0]), frame["pivot"].iloc[0]
+        pivot = int(frame["pivot"].iloc[0])
         shared, links = tile_links(nodes, sets, percent)
-        out = [(group, a, b, None, None) for a, b in links]
+        a, b, n, distance = [x for x, _ in links], [y for _, y in links], [0] * len(links), [-1.0] * len(links)
         if pivot in nodes:
             sizes, to = np.array([len(s) for s in sets]), nodes.index(pivot)
-            distance = 1 - shared[to] / (sizes + sizes[to] - shared[to])
-            out += zip([group] * len(nodes), nodes, [None] * len(nodes), sizes.tolist(), distance.tolist())
-        found = pd.DataFrame(out, columns=["group", "a", "b", "n", "distance"])
+            common = shared[to].astype(np.float64)
+            a, b, n, distance = a + nodes, b + nodes, n + sizes.tolist(), distance + (1 - common / (sizes + sizes[to] - common)).tolist()
+        columns = {"a": np.array(a, np.int64), "b": np.array(b, np.int64), "n": np.array(n, np.int64), "distance": np.array(distance, np.float64)}
         give_back()
-        return found.astype({"group": "int64", "a": "int64", "b": "Int64", "n": "Int64", "distance": "float64"})
+        return pd.DataFrame({"group": np.full(len(a), frame["group"].iloc[0], np.int64)} | columns)
 
     return tiles.join(sets, "node").groupBy(*keys).applyInPandas(run, "group long, a long, b long, n long, distance double")
 
@@ -316,10 +318,10 @@ def star_tiles(members: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def pair_tiles(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """group, i, j, node, pivot (null): tile (i, j) holds parts i and j of a group, so each two nodes meet."""
+    """group, i, j, node, pivot (0: none): tile (i, j) holds parts i and j of a group, so each two nodes meet."""
     dealt = members.join(heads, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    return dealt.select("group", "node", F.explode(tiles).alias("t")).select("group", "t.i", "t.j", "node", F.lit(None).cast("long").alias("pivot"))
+    return dealt.select("group", "node", F.explode(tiles).alias("t")).select("group", "t.i", "t.j", "node", F.lit(0).cast("long").alias("pivot"))
 
 
 def remaining(stars: DataFrame, heads: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +329,7 @@ def remaining(stars: DataFrame, heads: DataFrame, labels: DataFrame, percent: in
     near = 1 - percent / 100 + 1e-9
     own = lambda node: labels.select(F.col("node").alias(node), F.col("label").alias(f"__{node}"))
     large = heads.where("parts > 1").join(own("pivot"), "pivot", "left").select("group", F.coalesce("__pivot", "pivot").alias("main"))
-    nodes = stars.where("distance is not null").groupBy("group", F.col("a").alias("node")).agg(F.first("n").alias("n"), F.first("distance").alias("distance"))
+    nodes = stars.where("distance >= 0").groupBy("group", F.col("a").alias("node")).agg(F.first("n").alias("n"), F.first("distance").alias("distance"))
     placed = stored(nodes.join(large, "group").join(own("node"), "node", "left").select("group", "node", "n", "distance", (F.coalesce("__node", "node") != F.col("main")).alias("other")), "placed")
     reach = stored(placed.where("other").groupBy("group").agg((F.min("distance") - near).alias("low"), (F.max("distance") + near).alias("high")), "reach")
     out = stored(placed.join(reach, "group").where("other or distance between low and high").select("group", "node", "n", "other"), "members")
@@ -345,11 +347,11 @@ def hot_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: in
             break
         heads = stored(parts_of(members, pivot), "heads")
         if k == ROUNDS or k and size > before * (1 - GAIN):
-            found.append(stored(compared(pair_tiles(members, heads), only(sets, members), ["group", "i", "j"], percent).select("a", "b"), "links"))
+            found.append(stored(compared(pair_tiles(members, heads), only(sets, members), ["group", "i", "j"], percent).where("a <> b").select("a", "b"), "links"))
             forget(members, heads)
             break
         stars = stored(compared(star_tiles(members, heads), only(sets, members), ["group", "part"], percent), "stars")
-        found.append(stored(stars.where("b is not null").select("a", "b"), "links"))
+        found.append(stored(stars.where("a <> b").select("a", "b"), "links"))
         forget(members)
         if heads.where("parts > 1").isEmpty():
             forget(heads, stars)
@@ -486,6 +488,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = hot_links(members, sets, links, percent)
     labels = components(reduce(DataFrame.union, hot, links))
     forget(sets, links, *hot)
+    give_back()
     least = documents.where("node is not null").groupBy("node").agg(F.min("__id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_batches, with_results
+from .common import bounded_batches, give_back, map_batches, with_results
 
 #: Hash buckets, dimensions, subword lengths in bytes.
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
@@ -169,9 +169,13 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
     sample, known = [], {x: k for k, x in enumerate(languages)}
     taken = counted.orderBy(F.desc("is_first"), "place", "lang", "buckets").limit(max(SAMPLE, len(found))).collect()
     for r in sorted(taken, key=lambda r: (r["place"], r["lang"].encode(), bytes(r["buckets"]))):
-        c = np.frombuffer(r["counts"], "<u4").astype(np.float64)
-        sample.append((known[r["lang"]], np.frombuffer(r["buckets"], "<u2").astype(np.int64), c / c.sum()))
-    return fit(sample, languages, seed)
+        c = np.frombuffer(r["counts"], "<u4")
+        sample.append((known[r["lang"]], np.frombuffer(r["buckets"], "<u2"), (c / c.sum()).astype(np.float32)))
+    del taken
+    model = fit(sample, languages, seed)
+    del sample
+    give_back()
+    return model
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
