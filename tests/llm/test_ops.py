@@ -276,6 +276,27 @@ def test_unlearned_language_is_rejected(spark, sf):
     assert len(other) > 20 and sum(other) >= 0.9 * len(other) and sum(known) <= 0.02 * len(known)
 
 
+def test_scores_match_a_plain_scorer(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120").union(spark.createDataFrame([(120, "\u3053\u3093 x", None, "", 4), (121, "12", None, "", 2)], "doc_id long, text string, lang string, source string, n_chars long"))
+    model = language.train(docs, "text", "lang", "doc_id")
+    got = by_id(language.predict(docs, model), "lang_pred", "score", "rejected")
+    rejected = 0
+    for i, text in [*((r["doc_id"], r["text"]) for r in docs.collect())]:
+        data = f" {(text or '').lower()} ".encode()
+        grams = [int.from_bytes(data[p : p + n], "big") + (n << 40) for n in language.GRAMS for p in range(len(data) - n + 1)]
+        buckets = [(g * 0x9E3779B97F4A7C15 % 2**64) >> 50 for g in grams]
+        z = [sum(float(model.weights[b, k]) for b in buckets) / len(buckets) + float(model.bias[k]) for k in range(len(model.languages))]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        best = max(range(len(z)), key=z.__getitem__)
+        if any(c.isalpha() for c in text or ""):
+            assert got[i][0] == model.languages[best] and got[i][1] == pytest.approx(e[best] / sum(e), abs=1e-5)
+            assert got[i][2] == (max(z) - sorted(z)[-2] < model.accept) or abs(max(z) - sorted(z)[-2] - model.accept) < 1e-4
+        else:
+            assert got[i] == ("und", 0.0, True)
+        rejected += got[i][2]
+    assert rejected
+
+
 # --- 5 ---
 
 
@@ -383,6 +404,43 @@ def test_one_of_each_with_null_and_equal_ids(spark):
     assert sorted((x for x in kept if x not in first), key=repr) == sorted([(None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, "")], key=repr)
 
 
+def test_a_large_group_costs_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    rnd, real, costs = random.Random(12), jaccard.compared, []
+    base = [f"w{k}" for k in range(120)]
+
+    def counted(tiles, sets, keys, percent):
+        costs[-1] += sum(r["count"] ** 2 for r in tiles.groupBy(*keys).count().collect())
+        return real(tiles, sets, keys, percent)
+
+    monkeypatch.setattr(jaccard, "compared", counted)
+    for n in (500, 2000):
+        rows = []
+        for k in range(n):
+            words = list(base)
+            words[rnd.randrange(len(words))] = f"v{k}"
+            rows.append((k, " ".join(words)))
+        costs.append(0)
+        groups = jaccard.similar_groups(frame(spark, rows))
+        assert [r["component_id"] for r in groups.select("component_id").distinct().collect()] == [0]
+    assert 0 < costs[1] < 6 * costs[0]  # the square would be 16 times
+
+
+def test_families_of_one_group_are_told_apart(spark, monkeypatch):
+    for name, value in (("HOT", 4), ("TILE", 12)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(13)
+    shared = [f"s{k}" for k in range(40)]
+    rows = []
+    for k in range(160):
+        own = [f"f{k % 5}x{j}" for j in range(30)]
+        words = shared + own
+        for _ in range(rnd.choice([0, 1, 2, 4])):
+            words[rnd.randrange(len(words))] = f"v{rnd.randint(0, 500)}"
+        rows.append((k, " ".join(words)))
+    assert by_id(jaccard.similar_groups(frame(spark, rows)), "n_shingles", "component_id") == B.groups(rows)
+
+
 # --- 7 ---
 
 
@@ -540,13 +598,62 @@ def test_chat_machine(spark):
 # --- all ---
 
 
+CLASHES = ("n_tokens", "lang_pred", "score", "rejected", "media", "ids", "label", "n_shingles", "node", "host", "verdict", "share", "segments", "formatted", "n_words", "hash", "n_bytes", "error", "base", "extra", "words", "decoded")
+
+
+def clashing(df):
+    return df.select("*", *(F.lit("clash").alias(c) for c in CLASHES if c not in df.columns))
+
+
+def every_operator(docs, pages, items, turns):
+    """All operators over some tables, by name."""
+    rows, byte_bpe, piece_bpe = docs.withColumn("lang", F.lit("en")), vocabulary(queries.BYTE_BPE), vocabulary(queries.PIECE_BPE)
+    media = matroska.mux_texts(rows)
+    return {
+        "media": matroska.media_digest(media), "packets": matroska.packet_table(media, "doc_id"), "spans": pii.all_spans(docs), "sanitised": pii.sanitise(docs), "bpe": bpe.token_digest(docs, byte_bpe, ["doc_id"]),
+        "decoded": bpe.decode(bpe.encode(docs, byte_bpe), byte_bpe), "language": language.predict(rows, language.train(rows, "text", "lang", "doc_id")), "contamination": decontaminate.matches(docs, items),
+        "groups": jaccard.similar_groups(docs), "one": jaccard.one_of_each(docs), "licences": licenses.scan(docs), "urls": urls.judge(pages), "counts": token_counts.token_counts(docs, piece_bpe), "chat": chat.read_back(chat.formatted(turns)),
+    }
+
+
+def tables(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/es/" if t else None, t) for i, t in rows], "page_id long, url string, html string")
+    items = spark.createDataFrame(rows[:4], "item_id long, text string")
+    turns = spark.createDataFrame([(i, None if t else 1, "user" if t else None, t) for i, t in rows], "conv_id long, turn long, role string, text string")
+    return docs, pages, items, turns
+
+
 def test_empty_tables(spark):
-    none = frame(spark, TEXTS[:1]).limit(0)
-    items = spark.createDataFrame([], "item_id long, text string")
-    assert jaccard.similar_groups(none).count() == licenses.scan(none.select("doc_id", "text")).count() == queries.pii_digest(none).count() == 0
-    assert decontaminate.matches(none, items).count() == 0 and decontaminate.matches(frame(spark), items).count() == len(TEXTS)
-    assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-    assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    for name, df in every_operator(*tables(spark, [(1, "x")][:0])).items():
+        assert df.count() == 0, name
+    assert decontaminate.matches(frame(spark), tables(spark, [])[2]).count() == len(TEXTS)
+
+
+def test_odd_and_repeated_rows_with_clashing_columns(spark):
+    rows = [*TEXTS, *TEXTS[3:7], (None, None), (None, "x" * 300)]
+    plain, odd = tables(spark, rows), [clashing(t) for t in tables(spark, rows)]
+    once = {"packets", "one", "chat"}
+    for (name, a), (_, b) in zip(every_operator(*plain).items(), every_operator(*odd).items()):
+        shared = [c for c in a.columns if c not in ("label",) and a.columns.count(c) == 1]
+        got = [sorted(map(repr, map(tuple, df.select(*shared).collect()))) for df in (a, b)]
+        assert got[0] == got[1] and b.columns.count("n_tokens") <= 1, name
+        assert name in once or len(got[0]) == len(rows), name
+
+
+def test_very_long_texts(spark):
+    said = "Mail a.b@c.org or +1 (377) 555-0271; the MIT License. "
+    n = 20_000
+    long = said * n
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    got = by_id(queries.pii_digest(docs), "n_email", "n_phone", "base_sha256")
+    assert got[1] == (n, n, B.sha(",".join(B.pii(long))))
+    found = by_id(licenses.scan(docs), "n_words", "spans")
+    assert found[1][0] == len(B.words(long)) and sum(s["phrase"] for s in found[1][1]) == n
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "<|")], "conv_id long, turn long, role string, text string")
+    assert [r["loss_text"] for r in chat.read_back(chat.formatted(turns)).collect()] == [long + "<|"]
+    pages = spark.createDataFrame([(1, "http://a.net/it/" + "p" * 1_000_000, '<a href="//b.net/">' * 50_000)], "page_id long, url string, html string")
+    assert urls.judge(pages).first()["host"] == "a.net"
 
 
 def test_pipeline_matches_brute_force(spark, sf):
