@@ -43,6 +43,7 @@ def listed(migrations: DataFrame, status: str | None, size: int | None) -> DataF
     n = size_of(size)
     page = migrations.where(fits).orderBy(F.desc("start_ms"), "migration_id").limit(n)
     counts = migrations.agg((F.count_if(fits) > n).alias("truncated"), F.count_if(~F.col("phase").isin(*TERMINAL)).alias("active_count"))
+    # counts is one row.
     return page.crossJoin(F.broadcast(counts))
 
 
