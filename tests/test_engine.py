@@ -1,12 +1,13 @@
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog import scripts
-from tidelog.engine import Engine, Options, Rejected, Request, Script, Settings, Source
+from tidelog.engine import Engine, Options, Permits, Rejected, Request, Script, Settings, Source
 from tidelog.functions.routing import buckets_for, shard_of
 from tidelog.functions.units import byte_sizes, durations, jittered
 from tidelog.operators import reconcile as R
@@ -410,3 +411,42 @@ def test_any_number_of_rounds_gives_one_state(spark, sf, tmp_path, files):
     got = sorted((r["target_shard"], r["_id"], r["value"]) for r in target.rows().collect())
     want = sorted((r["target_shard"], r["_id"], r["value"]) for r in R.final_state(rows, 6).collect())
     assert got == want
+
+
+def test_targets_survive_restarts_and_compaction(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(Target, "COMPACT", 2)
+    log = op_log(spark, sf).select(*R.COLUMNS)
+    for k in range(6):
+        target = Target(spark, str(tmp_path), 6)  # as after a restart
+        assert target.apply(log.where(F.col("seq_no") % 6 == k), k) > 0
+        assert Target(spark, str(tmp_path), 6).apply(log.where(F.col("seq_no") % 6 == k), k) == 0  # passed over
+    assert len(target.state["rounds"]) < 2 and target.state["applied"] == list(range(6))
+    got = sorted((r["target_shard"], r["_id"], r["value"]) for r in Target(spark, str(tmp_path), 6).rows().collect())
+    assert got == sorted((r["target_shard"], r["_id"], r["value"]) for r in R.final_state(log, 6).collect())
+
+
+def test_permits_and_liveness(spark, tmp_path):
+    e = engine(spark, tmp_path, permits_per_node=0)
+    started = e.start(Request("a", "b", "c"), wait=False)
+    while not e.record_of("a")["phase"] == "ACTIVE":
+        time.sleep(0.1)
+    seen = e.record_of("a")["shards"][0]["last_seen"]
+    assert e.record_of("a")["shards"][0]["phase"] == "ACQUIRING_LEASE"  # it waits
+    assert e.stale_shards(seen + 300_000).count() == 0 and [r["shard"] for r in e.stale_shards(seen + 300_001).collect()] == [0]
+    e.permits.set(1)
+    e.wait(started["migration_id"])
+    assert e.record_of("a")["phase"] == "COMPLETED" and e.stale_shards(seen + 10**9).count() == 0
+    order, paused = [], Permits(0)
+
+    def worker(k):
+        with paused.one(lambda: None):
+            order.append(k)
+
+    threads = [threading.Thread(target=worker, args=(k,)) for k in range(5)]
+    for t in threads:
+        t.start()
+        time.sleep(0.05)
+    paused.set(1)
+    for t in threads:
+        t.join()
+    assert order == list(range(5))
