@@ -38,7 +38,7 @@ from .words import WORD_TABLE
 
 WINDOW, SLOP = 10, 5
 #: Bytes of text in a segment (one document at least), and of test items in a block.
-SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 1 << 20, 1 << 20
 #: Places of rarest terms that a search takes at a time.
 SLICE = 1 << 16
 

@@ -195,14 +195,32 @@ def shared_prefixes(texts: DataFrame, k: int, percent: int, counts: np.ndarray)
         give_back()
 
     nodes = stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "prefixes")
-    tokens = nodes.select("node", F.posexplode("tokens").alias("__place", "token"), "size").selectExpr("token", "node", "shiftleft(cast(__place as long), 32) | size as meta")
+    tokens = nodes.select("node", F.explode("tokens").alias("token"))
     # Stored, so that both sides of the join are dealt for it alone and a frequent token's rows can be split.
     several = stored(tokens.groupBy("token").agg(F.count("*").cast("int").alias("nodes"), F.min("node").alias("pivot")).where("nodes > 1"), "tokens")
-    shared = stored(tokens.join(several, "token"), "shared")
+    shared = stored(repeated_tokens(nodes, several).join(several, "token"), "shared")
     forget(nodes, several)
     return shared
 
 
+def repeated_tokens(nodes: DataFrame, several: DataFrame) -> DataFrame:
+    """token, node, meta of the tokens that pass the filter of `several`: most have one node only and needn't be moved."""
+    bits = node_filter(several.select(F.col("token").alias("node")))
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(2)
+            flat, sizes = tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner]
+            kept = np.flatnonzero(passes(bits, flat))
+            meta = place[kept] << 32 | batch.column(1).to_numpy()[owner[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(batch.column(0).to_numpy()[owner[kept]]), pa.array(meta)], ["token", "node", "meta"])
+        give_back()
+
+    return nodes.select("node", "size", "tokens").mapInArrow(run, "token long, node long, meta long")
+
+
 def unpacked(shared: DataFrame) -> DataFrame:
     return shared.selectExpr("token", "node", "shiftright(meta, 32) as place", "(meta & 4294967295) div 16 as n", "meta & 15 as l")
 
@@ -375,9 +393,9 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def passes(bits: np.ndarray, node: int) -> bool:
-    cell = node % (len(bits) * 64)
-    return bool(bits[cell // 64] >> (cell % 64) & 1)
+def passes(bits: np.ndarray, nodes: np.ndarray | int) -> np.ndarray:
+    cell = np.mod(nodes, len(bits) * 64)
+    return (bits[cell // 64] >> (cell % 64) & 1).astype(bool)
 
 
 def sets_of(texts: DataFrame, k: int, nodes: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> DataFrame:
@@ -410,7 +428,7 @@ def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([passes(bits, n) for n in batch.column(0).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(passes(bits, batch.column(0).to_numpy())))
 
     return sets.mapInArrow(run, sets.schema)
 
