@@ -9,7 +9,8 @@ each of which has a text in it at least (so with more than SAMPLE languages it h
 of each). A fifth of it is kept from training to
 calibrate: it fits the softmax's temperature and the margin (of the best logit over
 the next) under which a prediction is rejected: the best score of two languages is
-never under a half, but a text in neither gives both about the same. With one language
+never under a half, but a text in neither gives both about the same. Where there are more
+rows, the margin is fitted on at most CALIBRATE others, whose texts stay on the executors. With one language
 there is no margin, and only texts without a letter are rejected. Prediction reads
 every whole text.
 
@@ -37,8 +38,8 @@ BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 SAMPLE = 2000
 EPOCHS, STEPS, RATE, ROWS_A_STEP = 30, 2000, 4.0, 16
 #: (Epochs are as many as give STEPS steps, EPOCHS at least.)
-#: Of right calibration texts, the share that rejection may cost.
-COST = 0.002
+#: Most other labelled texts that fit the margin, the least of them that are enough to, and the share of right ones that rejection may cost.
+CALIBRATE, ENOUGH, COST = 20_000, 2000, 0.001
 #: Bytes whose subwords are looked up at once.
 SLICE = 1 << 16
 UNKNOWN = "und"
@@ -175,9 +176,28 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, seed: int =
     model = fit(sample, languages, seed)
     del sample
     give_back()
+    if len(languages) > 1:
+        # Beyond the shares that training chose from, so of other rows.
+        more = CALIBRATE / SAMPLE * F.col("share")
+        others = rows.join(F.broadcast(shares), "lang").where((F.col("place") >= F.col("share")) & (F.col("place") < F.col("share") + more)).where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+        widen(model, others)
     return model
 
 
+def widen(model: Model, others: DataFrame) -> None:
+    """The least margin accepted, from the margins of other rows (text, lang), if they are enough."""
+
+    def judge(batch):
+        z = [model.logits(x.as_py()) for x in batch.column(0)]
+        right = [model.languages[int(x.argmax())] == lang for x, lang in zip(z, batch.column(1).to_pylist())]
+        return [pa.array([float(margins(x)) for x in z], pa.float64()), pa.array(right, pa.bool_())]
+
+    judged = map_batches(others, "margin double, right boolean", judge, ("text", "lang"))
+    right = judged.where("right").select("margin").toArrow()["margin"].to_numpy()  # about CALIBRATE numbers at most
+    if len(right) >= ENOUGH:
+        model.accept = float(max(0.0, np.quantile(right, COST, method="lower")))
+
+
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df plus lang_pred, score (calibrated, 0 to 1) and rejected."""
     rows = df.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
