@@ -185,11 +185,12 @@ def disclosed(hashed: DataFrame, private: DataFrame) -> DataFrame:
     ever = told(F.col("n_entity"), F.col("n_term")) >= GENERALISE - 1e-9
     most = entities.agg(F.max("n_entity").alias("n_entity"), F.max("n_all").alias("n_all"))
     places = private.select("__doc", F.inline(words_of(F.col("__bare"))))
-    terms = stored(places.groupBy("__doc", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "pii-terms")
+    every = stored(places.groupBy("__doc", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "pii-terms")
     rare = document_counts(hashed, private).crossJoin(F.broadcast(most)).where(ever).select("term", "n_term")
-    rare = terms.groupBy("term").agg(set_of.alias("t_set")).join(rare, "term")
-    terms = stored(terms.join(rare, "term").select("__doc", "places", "n_term", "t_set"), "pii-rare")
+    rare = every.groupBy("term").agg(set_of.alias("t_set")).join(rare, "term")
+    terms = stored(every.join(rare, "term").select("__doc", "places", "n_term", "t_set"), "pii-rare")
     pairs = stored(entities.join(terms.select("__doc", "n_term", "t_set").distinct(), "__doc").where(possible), "pii-pairs")
+    forget(every, entities)
     scored = pairs.groupBy("n_entity", "e_set", "n_term", "t_set", "n_all").agg(F.sum("n").alias("n_both")).withColumn("told", told(F.col("n_both"), F.col("n_term"))).where(F.col("told") >= GENERALISE)
     action = F.when(F.col("told") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
     scored = scored.select("n_entity", "e_set", "n_term", "t_set", action.alias("action"))
