@@ -147,7 +147,9 @@ def terms_of(text: Column) -> Column:
 def private_documents(rows: DataFrame) -> DataFrame:
     """__doc, __id, __hash, n (rows with this id and text), base, __text and __bare (the text without its spans) of the documents with an entity."""
     one = rows.where(F.size("base") > 0).groupBy("__id", "__hash").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("__text").alias("__text"))
-    bare = one.select("__id", "__hash", "n", "base", "__text", blanked(F.col("__text"), F.col("base")).alias("__bare"))
+    # They are few but take long each: dealt into as many parts as a shuffle has, not into as many as their bytes would make.
+    dealt = one.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id", "__hash")
+    bare = dealt.select("__id", "__hash", "n", "base", "__text", blanked(F.col("__text"), F.col("base")).alias("__bare"))
     return stored(bare.withColumn("__doc", F.monotonically_increasing_id()), "pii-private")
 
 
