@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import KEPT, give_back, map_batches, vocabulary
 
 #: Words kept with their tokens by a Python worker; the memory is emptied when full.
-WORDS = 1 << 16
+WORDS = 1 << 18
 #: Characters of a text that the encoder takes at a time.
 PIECE = 1 << 16
 #: Fixed value of byte-level BPE: how text falls into words.
@@ -235,7 +235,12 @@ def encoder(path: str) -> Encoder:
     return out
 
 
-KEPT["bpe"] = [encoder.cache_clear, merge_list.cache_clear]
+@functools.lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(merge_list(path))
+
+
+KEPT["bpe"] = [encoder.cache_clear, decoder.cache_clear, merge_list.cache_clear]
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
@@ -255,7 +260,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     place = df.columns.index(ids_col)
 
     def run(batch):
-        d = Decoder(merge_list(path))
+        d = decoder(path)
         return [pa.array(["".join(d.decode(x or b"")) for x in batch.column(place).to_pylist()], pa.string())]
 
     return map_batches(df, f"`{text_col}` string", run, owner="bpe")
@@ -282,7 +287,7 @@ def token_digest(df: DataFrame, path: str, id_cols: list[str], text_col: str = "
     place = rows.columns.index("__text")
 
     def run(batch):
-        e, d = encoder(path), Decoder(merge_list(path))
+        e, d = encoder(path), decoder(path)
         n, ids, back, same = zip(*(digest_text(e, d, x or "") for x in batch.column(place).to_pylist()))
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
 
