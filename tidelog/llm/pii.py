@@ -147,9 +147,7 @@ def terms_of(text: Column) -> Column:
 def private_documents(rows: DataFrame) -> DataFrame:
     """__doc, __id, __hash, n (rows with this id and text), base, __text and __bare (the text without its spans) of the documents with an entity."""
     one = rows.where(F.size("base") > 0).groupBy("__id", "__hash").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("__text").alias("__text"))
-    # They are few but take long each: dealt into as many parts as a shuffle has, not into as many as their bytes would make.
-    dealt = one.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id", "__hash")
-    bare = dealt.select("__id", "__hash", "n", "base", "__text", blanked(F.col("__text"), F.col("base")).alias("__bare"))
+    bare = one.select("__id", "__hash", "n", "base", "__text", blanked(F.col("__text"), F.col("base")).alias("__bare"))
     return stored(bare.withColumn("__doc", F.monotonically_increasing_id()), "pii-private")
 
 
@@ -186,7 +184,9 @@ def disclosed(hashed: DataFrame, private: DataFrame) -> DataFrame:
     possible = told(F.least("n_entity", "n_term"), F.col("n_term")) >= GENERALISE - 1e-9
     ever = told(F.col("n_entity"), F.col("n_term")) >= GENERALISE - 1e-9
     most = entities.agg(F.max("n_entity").alias("n_entity"), F.max("n_all").alias("n_all"))
-    places = private.select("__doc", F.inline(words_of(F.col("__bare"))))
+    # Few bytes that take long: dealt into as many parts as a shuffle has, where a scan would have as many as their bytes make.
+    dealt = private.select("__doc", "__bare").repartition(int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__doc")
+    places = dealt.select("__doc", F.inline(words_of(F.col("__bare"))))
     every = stored(places.groupBy("__doc", "term").agg(F.collect_list(F.struct("start", "end")).alias("places")), "pii-terms")
     rare = document_counts(hashed, private).crossJoin(F.broadcast(most)).where(ever).select("term", "n_term")
     rare = every.groupBy("term").agg(set_of.alias("t_set")).join(rare, "term")
