@@ -441,6 +441,16 @@ def test_families_of_one_group_are_told_apart(spark, monkeypatch):
     assert by_id(jaccard.similar_groups(frame(spark, rows)), "n_shingles", "component_id") == B.groups(rows)
 
 
+def test_few_tokens_of_one_node_are_moved(spark):
+    rnd, cells = np.random.default_rng(14), 1 << 17  # the tokens of prefixes are of few cells of the sketch
+    tokens = (rnd.integers(0, 1 << 42, 60_000, np.uint64) << np.uint64(22) | rnd.integers(0, cells, 60_000, np.uint64)).view(np.int64)
+    nodes = spark.createDataFrame([(k, 300 << 4 | 1, tokens[k * 100 : (k + 1) * 100].tolist()) for k in range(600)], "node long, size long, tokens array<long>")
+    several = spark.createDataFrame([(t,) for t in tokens[:10_000].tolist()], "token long")
+    moved = {(r["token"], r["node"], r["meta"]) for r in jaccard.repeated_tokens(nodes, several).collect()}
+    assert {(t, k // 100, k % 100 << 32 | 300 << 4 | 1) for k, t in enumerate(tokens[:10_000].tolist())} <= moved
+    assert len(moved) < 10_000 + 50_000 * 0.06
+
+
 # --- 7 ---
 
 

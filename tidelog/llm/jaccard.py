@@ -45,8 +45,8 @@ from .words import SPACE_TABLE, hash_words, mix, rolling
 WORDS, PERCENT = 4, 85
 #: Cells of the frequency sketch (16 MB), cells in a row.
 SKETCH, BLOCK = 1 << 22, 1 << 16
-#: Least and most bits of the node filter; between them it has FILTER_LOAD bits a node.
-FILTER, FILTER_LOAD = (1 << 16, 1 << 26), 8
+#: Least and most bits of the node filter; between them it has FILTER_LOAD bits a node. Most bits that a node sets.
+FILTER, FILTER_LOAD, FILTER_MARKS = (1 << 16, 1 << 26), 8, 3
 #: Largest l, and how many estimated candidates make the first step up.
 LEVELS, STEP = 8, 8
 #: Nodes of a prefix shingle up to which its pairs are counted; nodes and bytes of sets in a part of a group.
@@ -205,7 +205,7 @@ def shared_prefixes(texts: DataFrame, k: int, percent: int, counts: np.ndarray)
 
 def repeated_tokens(nodes: DataFrame, several: DataFrame) -> DataFrame:
     """token, node, meta of the tokens that pass the filter of `several`: most have one node only and needn't be moved."""
-    bits = node_filter(several.select(F.col("token").alias("node")))
+    repeated = node_filter(several.select(F.col("token").alias("node")))
 
     def run(batches):
         for batch in batches:
@@ -213,7 +213,7 @@ def repeated_tokens(nodes: DataFrame, several: DataFrame) -> DataFrame:
             flat, sizes = tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner]
-            kept = np.flatnonzero(passes(bits, flat))
+            kept = np.flatnonzero(repeated.passes(flat))
             meta = place[kept] << 32 | batch.column(1).to_numpy()[owner[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(batch.column(0).to_numpy()[owner[kept]]), pa.array(meta)], ["token", "node", "meta"])
         give_back()
@@ -381,26 +381,42 @@ def hot_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: in
     return found
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each cell of node ids, FILTER_LOAD a node within the bounds of FILTER; beyond them it only lets more through."""
-    n = nodes.count() * FILTER_LOAD
-    size = min(max(1 << max(n - 1, 1).bit_length(), FILTER[0]), FILTER[1])
-    bits = nodes.selectExpr(f"cast(pmod(node, {size}) div 64 as int) word", "shiftleft(1L, cast(pmod(node, 64) as int)) bit")
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(size // 64, np.int64)
-    found = words.toArrow()  # at most FILTER's bits
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out
+class Filter:
+    """What passes for a member of a set of 64-bit hashes: all that are, and few others.
 
+    A hash's first bits name a word, others up to FILTER_MARKS bits of it (fewer if the words are full). None of them are the last
+    ones, which name a cell of the sketch: prefixes are of rare cells, so a filter by those would have most of its bits where it is asked.
+    """
 
-def passes(bits: np.ndarray, nodes: np.ndarray | int) -> np.ndarray:
-    cell = np.mod(nodes, len(bits) * 64)
-    return (bits[cell // 64] >> (cell % 64) & 1).astype(bool)
+    def __init__(self, size: int, n: int):
+        self.words = np.zeros(size // 64, np.uint64)
+        self.right = 64 - (size // 64).bit_length() + 1
+        self.shifts = (38, 32, 26)[: min(max(size // max(2 * n, 1), 1), FILTER_MARKS)]
+
+    def columns(self, of: str) -> tuple[str, str]:
+        """SQL: the word and the bits of a column."""
+        return f"cast(shiftrightunsigned({of}, {self.right}) as int)", " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({of}, {k}) & 63 as int))" for k in self.shifts)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        hashes, marks = hashes.view(np.uint64), np.zeros(len(hashes), np.uint64)
+        for k in self.shifts:
+            marks |= np.uint64(1) << (hashes >> np.uint64(k) & np.uint64(63))
+        return self.words[(hashes >> np.uint64(self.right)).astype(np.int64)] & marks == marks
+
+
+def node_filter(nodes: DataFrame) -> Filter:
+    """The filter of a column `node`, FILTER_LOAD bits a node within the bounds of FILTER; beyond them it only lets more through."""
+    n = nodes.count()
+    out = Filter(min(max(1 << max(n * FILTER_LOAD - 1, 1).bit_length(), FILTER[0]), FILTER[1]), n)
+    word, bits = out.columns("node")
+    found = nodes.selectExpr(f"{word} as word", f"{bits} as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER's bits
+    out.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def sets_of(texts: DataFrame, k: int, nodes: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> DataFrame:
     """node, l, shingles (sorted) of the texts whose nodes pass the filter of `nodes`; `part` takes a part of a set and its l, else sets are whole (l is 0). Stored."""
-    bits = node_filter(nodes)
+    wanted = node_filter(nodes)
     bounded_batches(texts.sparkSession)
     schema = T.StructType.fromDDL("node long, l int, shingles binary")
 
@@ -411,7 +427,7 @@ def sets_of(texts: DataFrame, k: int, nodes: DataFrame, part: Callable[[np.ndarr
             ids, levels, sets = [], [], []
             for s in sets_in(batch.column(0), k):
                 node = node_of(s)
-                if node is not None and passes(bits, node) and seen.first(node):
+                if node is not None and wanted.passes(np.array([node], np.int64))[0] and seen.first(node):
                     some, level = part(s) if part else (s, 0)
                     ids.append(node)
                     levels.append(level)
@@ -424,11 +440,11 @@ def sets_of(texts: DataFrame, k: int, nodes: DataFrame, part: Callable[[np.ndarr
 
 def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sets that pass the filter of `nodes`, so that others aren't moved for a join with these."""
-    bits = node_filter(nodes)
+    wanted = node_filter(nodes)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits, batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(wanted.passes(batch.column(0).to_numpy())))
 
     return sets.mapInArrow(run, sets.schema)
 
