@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with
 the columns of `documents`; the last gives tokens. Between stages the documents are
-written as Parquet into the shared folder and read again.
+written as Parquet into the shared folder and read again. The executors first return
+memory that the stage before has left unused.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, jaccard, language, pii
-from tidelog.llm.common import stored, table
+from tidelog.llm.common import executors_give_back, stored, table
 from tidelog.llm.queries import BYTE_BPE
 
 
@@ -24,11 +25,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near duplicates (five words, similarity 0.8), the document with the smallest id stays."""
+    executors_give_back(spark)
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that hold a window of a benchmark item go."""
+    executors_give_back(spark)
     found = decontaminate.matches(docs.select(F.struct("doc_id", F.xxhash64("text")).alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
     hit = found.where("n_hit > 0").select("key.*").toDF("__id", "__hash").distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
@@ -36,11 +39,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: personal data and the terms that give it away are replaced; all documents stay."""
+    executors_give_back(spark)
     return pii.sanitise(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the documents' tokens and digests of them and of what they decode to."""
+    executors_give_back(spark)
     return bpe.token_digest(docs, BYTE_BPE, ["doc_id", "lang", "source"])
 
 

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.compare import both, connection
 from tests.llm import brute as B
 from tidelog.llm.common import vocabulary
@@ -676,3 +678,23 @@ def test_pipeline_matches_brute_force(spark, sf):
     want = {i for i in texts if not hit[i][4]}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == want and all(r["round_trip"] for r in rows)
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[1:]])
+def test_stages_begin_without_the_garbage_of_others(spark, sf, stage, monkeypatch):
+    class Began(Exception):
+        pass
+
+    def held(*_, **__):
+        raise Began(runtime.totalMemory())
+
+    runtime, gateway = spark._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    garbage = [gateway.new_array(gateway.jvm.long, 1 << 26) for _ in range(4)]
+    before = runtime.totalMemory()
+    del garbage
+    gc.collect()
+    for module, name in ((jaccard, "one_of_each"), (decontaminate, "matches"), (pii, "sanitise"), (bpe, "token_digest")):
+        monkeypatch.setattr(module, name, held)
+    with pytest.raises(Began) as began:
+        stage(spark, queries.documents(spark, sf), sf)
+    assert began.value.args[0] < before - (1 << 30)

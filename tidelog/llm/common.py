@@ -43,6 +43,12 @@ def give_back() -> None:
         trim(0)
 
 
+def executors_give_back(spark: SparkSession) -> None:
+    """Before a stage: each executor's JVM collects its garbage and returns free heap to the system. Else it holds what the largest stage so far took, beside the Python workers of the next."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()  # a task for each core, so one at least for each executor
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one of our own, if executors are threads of the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
